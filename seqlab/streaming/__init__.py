@@ -1,0 +1,7 @@
+"""Streaming.
+
+The workload this library re-expresses is batch only: inputs are whole files,
+and there is no watermark, window-over-time, or state store to rebuild.  Nothing
+lives here on purpose; every operator in ``seqlab.operators`` takes a batch
+DataFrame.
+"""
