@@ -20,9 +20,17 @@ def safe_div(num: str | Column, den: str | Column, default: float = 0.0) -> Colu
 
 
 def epoch_seconds(ts: str) -> Column:
-    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ column, independent of the session zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)") \
-        / F.lit(1e6)
+    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ column as a double.
+
+    Built from the calendar fields, so no session time zone enters (a cast to
+    TIMESTAMP would apply one).  Equals ``epoch_us(ts) / 1e6``.
+    """
+    c = F.col(ts)
+    micros = (F.unix_date(c.cast("date")).cast("long") * F.lit(86_400_000_000)
+              + F.hour(c).cast("long") * F.lit(3_600_000_000)
+              + F.minute(c).cast("long") * F.lit(60_000_000)
+              + (F.extract(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long"))
+    return micros / F.lit(1e6)
 
 
 def is_missing(col: str | Column) -> Column:

@@ -53,10 +53,10 @@ class BlockPlan:
 
 
 def plan_blocks(df: DataFrame, pos: str, tie: str, blocks: int | None = None,
-                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> BlockPlan:
+                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, n_rows: int | None = None) -> BlockPlan:
     """Decide the block boundaries for ``df`` ordered by ``(pos, tie)``."""
     if blocks is None:
-        n = df.count()
+        n = df.count() if n_rows is None else n_rows
         blocks = max(1, math.ceil(n / rows_per_block))
         parallel = df.sparkSession.sparkContext.defaultParallelism
         blocks = max(blocks, min(parallel, n // MIN_ROWS_PER_BLOCK))
@@ -104,7 +104,7 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
                  steps: Mapping[str, StepFn] | None = None, cur_cols: Iterable[str] = (),
                  row_number: str | None = None, prev_prefix: str = "prev_",
                  plan: BlockPlan | None = None, blocks: int | None = None,
-                 rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+                 rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, n_rows: int | None = None) -> DataFrame:
     """Previous-row values and inclusive running sums over the order ``(pos, tie)``.
 
     ``lags``: columns whose previous-row value is added as ``prev_<c>``.
@@ -119,7 +119,7 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
     steps = dict(steps or {})
     carried = sorted(set(lags) | set(cur_cols) | {pos, tie})
     if plan is None:
-        plan = plan_blocks(df, pos, tie, blocks, rows_per_block)
+        plan = plan_blocks(df, pos, tie, blocks, rows_per_block, n_rows)
     keyed = assign_blocks(df, pos, tie, plan)
 
     w = Window.partitionBy(_BLK, _SUB).orderBy(F.col(pos), F.col(tie))
@@ -144,6 +144,8 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
     # One row per block: first and last row (by (pos, tie)), local totals.
     order_key = F.struct(F.col(pos), F.col(tie))
     row_struct = F.struct(*[F.col(c) for c in carried])
+    # This summary pass is a second read of the input, but Catalyst prunes it to
+    # the order and carried columns, so its scan and shuffle are narrow.
     summary = loc.groupBy(_BLK, _SUB).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(row_struct, order_key).alias("_first"),
@@ -178,7 +180,8 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
                          *[f"_{k}_{name}" for name in steps for k in ("corr", "off")])
     if plan.max_rows <= BROADCAST_BLOCKS:
         carry = F.broadcast(carry)
-    out = loc.join(carry, [_BLK, _SUB])
+    # Every block has a carry row, so a left join equals an inner one here.
+    out = loc.join(carry, [_BLK, _SUB], "left")
 
     for c in lags:
         out = out.withColumn(f"{prev_prefix}{c}",

@@ -32,6 +32,7 @@ def _load_all() -> None:
     # Importing the modules registers their queries.
     from seqlab.plans import (  # noqa: F401
         q_order,
+        q_spacing,
     )
 
 
