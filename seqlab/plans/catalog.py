@@ -33,6 +33,7 @@ def _load_all() -> None:
     from seqlab.plans import (  # noqa: F401
         q_order,
         q_spacing,
+        q_prep,
     )
 
 

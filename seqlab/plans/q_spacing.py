@@ -94,7 +94,7 @@ def a17_spacing_stats(spark, sf_dir):
 
 A18_SQL = f"""with {SPACED_CTE},
 q as (select quantile_cont(diff, [0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999]) as qs from d),
-v as (select unnest([50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9]) as percentile, unnest(qs) as value from q)
+v as (select unnest([50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9]::double[]) as percentile, unnest(qs) as value from q)
 select percentile, round(value, 6) as value, (select count(*) from d where d.diff > v.value) as n_above from v"""
 
 
