@@ -34,6 +34,7 @@ def _load_all() -> None:
         q_order,
         q_spacing,
         q_prep,
+        q_sampling,
     )
 
 
