@@ -35,6 +35,7 @@ def _load_all() -> None:
         q_spacing,
         q_prep,
         q_sampling,
+        q_metrics,
     )
 
 
