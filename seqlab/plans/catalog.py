@@ -36,6 +36,7 @@ def _load_all() -> None:
         q_prep,
         q_sampling,
         q_metrics,
+        q_profile,
     )
 
 
