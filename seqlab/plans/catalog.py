@@ -37,6 +37,7 @@ def _load_all() -> None:
         q_sampling,
         q_metrics,
         q_profile,
+        q_models,
     )
 
 
