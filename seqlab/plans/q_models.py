@@ -62,3 +62,169 @@ def m8_knn_predict(spark, sf_dir):
     pred = knn_predict(_neighbours(spark, sf_dir), "qid", "y", "uniform")
     truth = split_embeddings(spark, sf_dir).where(F.col("side") == "test").select("vec_id", F.col("y").alias("y_true"))
     return truth.join(pred.withColumnRenamed("qid", "vec_id"), "vec_id").select("vec_id", "y_true", "y_pred")
+
+
+# --- outliers, oversampling, model family, search and sweep ------------------
+
+from seqlab.operators.iforest import iforest_probability, remove_outliers_iforest  # noqa: E402
+from seqlab.operators import metrics as M  # noqa: E402
+from seqlab.operators.smote import smote  # noqa: E402
+from seqlab.plans.models import TrainConfig, train_predict  # noqa: E402
+from seqlab.plans import search as H  # noqa: E402
+
+LI_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+N_DIMS = 64
+EMB_FEATURES = [f"e{i}" for i in range(N_DIMS)]
+
+
+def _lineitem_rows(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LI_FEATURES]
+    # lineitem has no unique key: the row content is the sampling id (equal
+    # rows are interchangeable, so the sample is still a fixed multiset).
+    return li.select(*[F.col(c) + F.lit(0.0) if c == "l_discount" else F.col(c) for c in cols]).toDF(*cols) \
+        .withColumn("row_key", F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
+
+
+@register("O2_iforest_filter")
+def o2_iforest_filter(spark, sf_dir):
+    kept = remove_outliers_iforest(_lineitem_rows(spark, sf_dir), LI_FEATURES, 0.5, "row_key", n_trees=100, seed=SEED)
+    return kept.drop("row_key")
+
+
+@register("O2_iforest_outlier_share")
+def o2_iforest_outlier_share(spark, sf_dir):
+    p = iforest_probability(_lineitem_rows(spark, sf_dir), LI_FEATURES, "row_key", n_trees=100, seed=SEED)
+    return M_outlier_share(p)
+
+
+def M_outlier_share(p):
+    from seqlab.operators.clean import outlier_share
+    return outlier_share(p.withColumn("_o", (F.col("outlier_prob") > 0.5).cast("int")), "_o")
+
+
+def emb_table(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return e.select("vec_id", "y", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(N_DIMS)])
+
+
+@register("D8_smote_class_counts", """with e as (select cast(embedding[1] + embedding[2] > 0 as integer) as y
+  from embeddings), c as (select y, count(*) as n from e group by y)
+select y, (select max(n) from c) as n, (select max(n) from c) - n as n_synthetic from c""")
+def d8_smote_class_counts(spark, sf_dir):
+    e = emb_table(spark, sf_dir)
+    level = e.groupBy("y").count().agg(F.max("count")).first()[0]
+    out = smote(e, "vec_id", EMB_FEATURES, "y", level, k=5, seed=SEED)
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("synthetic").alias("n_synthetic"))
+
+
+def _split_tables(spark, sf_dir):
+    s = stratified_split(emb_table(spark, sf_dir), "vec_id", "y", 0.33, SEED)
+    return s.where(F.col("side") == "train").drop("side"), s.where(F.col("side") == "test").drop("side")
+
+
+def _base_cfg(model="logistic_regression", params=None):
+    return TrainConfig(model=model, params=params or {}, features=EMB_FEATURES, label="y", id_col="vec_id",
+                       undersample_ratio=1.0, seed=SEED)
+
+
+def _eval_model(spark, sf_dir, model, params):
+    train, test = _split_tables(spark, sf_dir)
+    pred = train_predict(train, test, _base_cfg(model, params))
+    return M.evaluate(pred)
+
+
+# Fixed parameter maps of the stored model configurations (the values the
+# workload ships for each model).
+MODEL_PARAMS = {
+    "logistic_regression": {"C": 0.2895667317295911, "penalty": "l1"},
+    "random_forest": {"max_depth": 11, "max_features": "log2", "min_samples_leaf": 4, "n_estimators": 109},
+    "xgboost": {"colsample_bytree": 0.7351421288846683, "learning_rate": 0.07926004251101824, "max_depth": 8,
+                "n_estimators": 96, "subsample": 0.9437099479618614},
+    "svm": {"C": 0.9175201343352734, "gamma": "scale", "kernel": "rbf"},
+    "knn": {"n_neighbors": 9, "p": 2, "weights": "uniform"},
+}
+
+
+@register("M4_logistic_regression")
+def m4_logistic_regression(spark, sf_dir):
+    return _eval_model(spark, sf_dir, "logistic_regression", MODEL_PARAMS["logistic_regression"])
+
+
+@register("M5_random_forest")
+def m5_random_forest(spark, sf_dir):
+    return _eval_model(spark, sf_dir, "random_forest", MODEL_PARAMS["random_forest"])
+
+
+@register("M6_gradient_boosted_trees")
+def m6_gradient_boosted_trees(spark, sf_dir):
+    return _eval_model(spark, sf_dir, "xgboost", MODEL_PARAMS["xgboost"])
+
+
+@register("M7_svm_rbf")
+def m7_svm_rbf(spark, sf_dir):
+    return _eval_model(spark, sf_dir, "svm", MODEL_PARAMS["svm"])
+
+
+@register("M2_dispatch_knn")
+def m2_dispatch_knn(spark, sf_dir):
+    return _eval_model(spark, sf_dir, "knn", MODEL_PARAMS["knn"])
+
+
+@register("H3_study_logistic_regression")
+def h3_study(spark, sf_dir):
+    train, _ = _split_tables(spark, sf_dir)
+    from seqlab.operators.sampling import stratified_kfold
+    from seqlab.session import materialize
+    folded = materialize(stratified_kfold(train, "vec_id", "y", 5, SEED))
+    return H.run_study(spark, folded, _base_cfg(), "logistic_regression", n_trials=5, k=5, seed=SEED)
+
+
+@register("H4_batch_models")
+def h4_batch_models(spark, sf_dir):
+    train, test = _split_tables(spark, sf_dir)
+    _, comp = H.batch_optimize(spark, train, test, _base_cfg(), ["dummy", "logistic_regression", "knn"],
+                               n_trials=3, k=3, seed=SEED)
+    return comp
+
+
+_SWEEPS: dict[str, object] = {}
+
+
+def _sweep_counts(spark, sf_dir):
+    if sf_dir not in _SWEEPS:
+        train, test = _split_tables(spark, sf_dir)
+        _SWEEPS[sf_dir] = H.undersampling_sweep(spark, train, test, _base_cfg(), H.ratio_grid(0.5, 8.0, 30), k=5,
+                                                seed=SEED).collect()
+    return spark.createDataFrame(_SWEEPS[sf_dir], H.SWEEP_SCHEMA)
+
+
+@register("H5_undersampling_sweep")
+def h5_undersampling_sweep(spark, sf_dir):
+    return H.sweep_summary(_sweep_counts(spark, sf_dir))
+
+
+@register("H6_sweep_series")
+def h6_sweep_series(spark, sf_dir):
+    return H.sweep_long(H.sweep_summary(_sweep_counts(spark, sf_dir)))
+
+
+@register("H6_sweep_metric_maxima")
+def h6_sweep_metric_maxima(spark, sf_dir):
+    s = H.sweep_summary(_sweep_counts(spark, sf_dir))
+    return M.best_per_metric(s, "undersample_fraction",
+                             ["accuracy_cv", "balanced_accuracy_cv", "recall_cv", "precision_cv", "f1_cv"])
+
+
+@register("T3_sweep_best_ratio")
+def t3_sweep_best_ratio(spark, sf_dir):
+    return M.best_setting(H.sweep_summary(_sweep_counts(spark, sf_dir)), "undersample_fraction", "cost_average")
+
+
+@register("H6_sweep_confusion_matrices")
+def h6_sweep_confusion_matrices(spark, sf_dir):
+    counts = _sweep_counts(spark, sf_dir).where(F.col("fold") == -1)
+    ratios = sorted(r[0] for r in counts.select("undersample_fraction").collect())
+    picks = [ratios[i] for i in H.spaced_indices(len(ratios), 6)]
+    return counts.where(F.col("undersample_fraction").isin(picks)).select(
+        "undersample_fraction", "undersample_level", "tn", "fp", "fn", "tp")

@@ -52,3 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one derived table feeds many jobs (folds x trials); a lost
+    executor then re-reads the checkpoint instead of recomputing the lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
