@@ -23,9 +23,10 @@ BLOCK_ROWS = 20_000
 _QBATCH = 256
 
 
-def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metric: str, exclude_self: bool):
+def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metric: str, exclude_self: bool,
+                by: Sequence[str] = ()):
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = [qid, tid, "dist", *extra]
+        cols = [*by, qid, tid, "dist", *extra]
         if q.empty or t.empty:
             return pd.DataFrame({c: [] for c in cols})
         qv = np.stack(q["_qvec"].to_numpy()).astype(np.float64)
@@ -50,6 +51,8 @@ def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metr
                 out_d.append(d[i, sel])
         sel_t = np.concatenate(out_t)
         res = pd.DataFrame({qid: np.concatenate(out_q), tid: tids[sel_t], "dist": np.concatenate(out_d)})
+        for c in by:
+            res[c] = q[c].iloc[0]
         for c in extra:
             res[c] = t[c].to_numpy()[sel_t]
         return res
@@ -58,39 +61,46 @@ def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metr
 
 def nearest_neighbours(queries: DataFrame, ref: DataFrame, k: int, qid: str, tid: str, vec: str,
                        extra: Sequence[str] = (), metric: str = "euclidean", exclude_self: bool = False,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Top ``k`` reference rows per query row: (qid, tid, dist, nn_rank, *extra).
+                       block_rows: int = BLOCK_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Top ``k`` reference rows per query row: (*by, qid, tid, dist, nn_rank, *extra).
 
     Ties in distance go to the smaller reference id.  ``exclude_self`` drops the
     pair ``qid == tid`` (neighbours within one table).  ``qid`` and ``tid`` must
-    be distinct column names.
+    be distinct column names.  ``by``: group columns present on both sides;
+    queries only meet references of their own group (many small kNN problems
+    in one plan, e.g. every fold x setting of a sweep).
     """
+    by = list(by)
     n_q, n_t = queries.count(), ref.count()
     n_blocks = max(1, math.ceil(n_q / block_rows))
     n_chunks = max(1, math.ceil(n_t / block_rows))
     # Fresh aliases on both sides: the two inputs often share lineage (one
     # table split in two), and cogroup needs distinct attributes.
-    q = queries.select(F.col(qid).alias(qid), F.col(vec).alias("_qvec"), F.pmod(F.xxhash64(qid), F.lit(n_blocks)).cast("int").alias("_qb"),
+    q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).alias(qid), F.col(vec).alias("_qvec"),
+                       F.pmod(F.xxhash64(qid), F.lit(n_blocks)).cast("int").alias("_qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_tc"))
-    t = ref.select(F.col(tid).alias(tid), F.col(vec).alias("_tvec"), *[F.col(c).alias(c) for c in extra], F.pmod(F.xxhash64(tid), F.lit(n_chunks)).cast("int").alias("_tc"),
+    t = ref.select(*[F.col(c).alias(c) for c in by], F.col(tid).alias(tid), F.col(vec).alias("_tvec"),
+                   *[F.col(c).alias(c) for c in extra],
+                   F.pmod(F.xxhash64(tid), F.lit(n_chunks)).cast("int").alias("_tc"),
                    F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_qb"))
-    schema_t = dict(ref.select(tid, *extra).dtypes)
-    schema = ", ".join([f"`{qid}` {dict(queries.dtypes)[qid]}", f"`{tid}` {schema_t[tid]}", "dist double",
-                        *[f"`{c}` {schema_t[c]}" for c in extra]])
-    local = q.groupBy("_qb", "_tc").cogroup(t.groupBy("_qb", "_tc")).applyInPandas(
-        _local_topk(k, qid, tid, vec, extra, metric, exclude_self), schema)
-    w = Window.partitionBy(qid).orderBy(F.col("dist"), F.col(tid))
+    qtypes, ttypes = dict(queries.dtypes), dict(ref.select(tid, *extra).dtypes)
+    schema = ", ".join([*[f"`{c}` {qtypes[c]}" for c in by], f"`{qid}` {qtypes[qid]}", f"`{tid}` {ttypes[tid]}",
+                        "dist double", *[f"`{c}` {ttypes[c]}" for c in extra]])
+    local = q.groupBy(*by, "_qb", "_tc").cogroup(t.groupBy(*by, "_qb", "_tc")).applyInPandas(
+        _local_topk(k, qid, tid, vec, extra, metric, exclude_self, by), schema)
+    w = Window.partitionBy(*by, qid).orderBy(F.col("dist"), F.col(tid))
     return local.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
 
 
-def knn_predict(neigh: DataFrame, qid: str, label: str, weights: str = "uniform") -> DataFrame:
+def knn_predict(neigh: DataFrame, qid: str, label: str, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
     """Vote of the neighbours: uniform or 1/distance (zero distances take all the weight);
     ties go to the smaller label (M8)."""
+    by = list(by)
     if weights == "distance":
-        has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(qid)) == 1
+        has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(*by, qid)) == 1
         w = F.when(has_zero, (F.col("dist") == 0).cast("double")).otherwise(F.lit(1.0) / F.col("dist"))
     else:
         w = F.lit(1.0)
-    votes = neigh.withColumn("_w", w).groupBy(qid, label).agg(F.sum("_w").alias("_votes"))
-    return votes.groupBy(qid).agg(
+    votes = neigh.withColumn("_w", w).groupBy(*by, qid, label).agg(F.sum("_w").alias("_votes"))
+    return votes.groupBy(*by, qid).agg(
         F.min_by(F.col(label), F.struct(-F.col("_votes"), F.col(label))).alias("y_pred"))

@@ -194,8 +194,11 @@ _SWEEPS: dict[str, object] = {}
 def _sweep_counts(spark, sf_dir):
     if sf_dir not in _SWEEPS:
         train, test = _split_tables(spark, sf_dir)
-        _SWEEPS[sf_dir] = H.undersampling_sweep(spark, train, test, _base_cfg(), H.ratio_grid(0.5, 8.0, 30), k=5,
-                                                seed=SEED).collect()
+        # The sweep model is the stored kNN configuration, whose 30 x 6 fits
+        # run as one plan (one group per fold set x ratio).
+        cfg = _base_cfg("knn", MODEL_PARAMS["knn"])
+        _SWEEPS[sf_dir] = H.knn_undersampling_sweep(spark, train, test, cfg, H.ratio_grid(0.5, 8.0, 30), k=5,
+                                                    seed=SEED).collect()
     return spark.createDataFrame(_SWEEPS[sf_dir], H.SWEEP_SCHEMA)
 
 
