@@ -85,7 +85,9 @@ class StageCounter:
     """Row counts in and out of each pipeline stage without extra scans.
 
     Each stage's output gets a ``DataFrame.observe`` metric; the counts arrive
-    with whatever action finally runs the plan.
+    with whatever action finally runs the plan.  Use it on a sibling session
+    (``spark.newSession()``): on Spark 4.1, once a session has served an
+    observation, some ``pyspark.ml`` closures built on it fail to serialise.
     """
 
     def __init__(self) -> None:

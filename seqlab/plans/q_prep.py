@@ -247,7 +247,11 @@ select * from (values (0, 'loaded', null, (select count(*) from rec)),
 
 @register("P15_stage_row_counts", P15_SQL)
 def p15_stage_row_counts(spark, sf_dir):
-    r = records(spark, sf_dir).select("id", "pos", "label", "value", "user_id")
+    # Observed runs go through a sibling session: on Spark 4.1 a session whose
+    # observation manager has been used can no longer serialise some ML
+    # closures, so the caller's session stays untouched.
+    obs_session = spark.newSession()
+    r = records(obs_session, sf_dir).select("id", "pos", "label", "value", "user_id")
     counter = C.StageCounter()
     out = clean(r, _clean_cfg(), counter=counter, check_not_empty=False)
     out.write.format("noop").mode("overwrite").save()
