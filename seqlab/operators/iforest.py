@@ -81,16 +81,16 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int
     psi = max(1, min(psi, n))
     cols = [id_col, *features]
     if n >= n_trees * psi:
-        ranked = hash_rank(df.select(*cols), id_col, seed, rank_col="_rk")
-        sample = (ranked.where(F.col("_rk") <= n_trees * psi)
+        ranked = hash_rank(df.select(*cols), id_col, seed, rank_col="_rk", limit=n_trees * psi)
+        sample = (ranked
                   .withColumn("_tree", ((F.col("_rk") - 1) % n_trees).cast("int")).drop("_rk"))
     else:
         # Fewer rows than trees * psi: each tree draws its own psi rows.  The
         # replication is bounded by n_trees * n < n_trees^2 * psi rows.
         rep = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
         rep = rep.withColumn("_tid", F.concat(F.col("_tree").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
-        ranked = hash_rank(rep, "_tid", seed, by=["_tree"], rank_col="_rk")
-        sample = ranked.where(F.col("_rk") <= psi).drop("_rk", "_tid")
+        ranked = hash_rank(rep, "_tid", seed, by=["_tree"], rank_col="_rk", limit=psi)
+        sample = ranked.drop("_rk", "_tid")
     return sample.groupBy("_tree").applyInPandas(_build_tree_fn(features, psi, seed), NODE_SCHEMA)
 
 
@@ -119,39 +119,40 @@ class Forest:
         self.c_psi = float(avg_path_length(np.array([psi]))[0]) or 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score 2^(-E[h(x)] / c(psi)) for the rows of ``x``."""
-        m = x.shape[0]
-        total = np.zeros(m)
-        rows = np.arange(m)
-        for t in range(self.n_trees):
-            node = np.zeros(m, dtype=np.int64)
-            depth = np.zeros(m)
-            active = self.feature[t, node] >= 0
-            while active.any():
-                f = self.feature[t, node[active]]
-                go_left = x[rows[active], f] < self.threshold[t, node[active]]
-                nxt = np.where(go_left, self.left[t, node[active]], self.right[t, node[active]])
-                node[active] = nxt
-                depth[active] += 1
-                active = self.feature[t, node] >= 0
-            total += depth + self.leaf_extra[t, node]
-        return np.power(2.0, -(total / self.n_trees) / self.c_psi)
+        """Anomaly score 2^(-E[h(x)] / c(psi)) for the rows of ``x``; all trees walk together."""
+        m, n_t = x.shape[0], self.n_trees
+        tix = np.broadcast_to(np.arange(n_t), (m, n_t))
+        node = np.zeros((m, n_t), dtype=np.int64)
+        depth = np.zeros((m, n_t))
+        while True:
+            feat = self.feature[tix, node]
+            active = feat >= 0
+            if not active.any():
+                break
+            xv = np.take_along_axis(x, np.where(active, feat, 0), axis=1)
+            nxt = np.where(xv < self.threshold[tix, node], self.left[tix, node], self.right[tix, node])
+            node = np.where(active, nxt, node)
+            depth += active
+        total = (depth + self.leaf_extra[tix, node]).sum(axis=1)
+        return np.power(2.0, -(total / n_t) / self.c_psi)
 
 
 def score_rows(df: DataFrame, features: Sequence[str], forest: Forest, out: str = "iforest_score") -> DataFrame:
-    """Add the anomaly score, computed in Arrow batches."""
-    bc = df.sparkSession.sparkContext.broadcast(forest)
-    feats = list(features)
-
-    def fn(batches):
-        fr = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=np.float64)
-            pdf[out] = fr.score(x) if len(pdf) else np.zeros(0)
-            yield pdf
-
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
-    return df.mapInPandas(fn, schema)
+    """Add the anomaly score.  A scalar pandas UDF over the feature struct: only the
+    feature columns cross to Python, in Arrow batches; the rest stays in the JVM."""
+    sc = df.sparkSession.sparkContext
+    bc = sc.broadcast(forest)
+    # Python scoring is CPU-bound: a table read as fewer splits than there are
+    # cores (one row group, say) is spread round-robin first.  Inputs of cluster
+    # size already have more splits than cores and are left alone.
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        df = df.repartition(sc.defaultParallelism)
+
+    @F.pandas_udf("double")
+    def _score(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(bc.value.score(x.to_numpy(dtype=np.float64)))
+
+    return df.withColumn(out, _score(F.struct(*[F.col(f) for f in features])))
 
 
 def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256,

@@ -23,13 +23,18 @@ def hash_key(id_col: str | Column, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, id_col: str, seed: int = 42, by: Sequence[str] = (), rank_col: str = "rank",
-              digits: int = 3) -> DataFrame:
+              digits: int = 3, limit: int | None = None) -> DataFrame:
     """1-based rank of every row within ``by`` in the order ``(md5(seed:id), id)``.
 
     ``digits`` hex digits of the hash make ``16**digits`` buckets per class; the
     rank window is partitioned by (class, bucket), so even a class holding a
     third of all rows is spread over that many tasks.  ``id`` must be unique.
+    ``limit``: keep only ranks <= limit (an exact-n sample); buckets that start
+    past the limit are dropped before the sort, so only about ``limit`` rows
+    per class are shuffled and sorted.
     """
+    if limit is not None:
+        return _hash_head(df, id_col, seed, list(by), rank_col, digits, limit)
     by = list(by)
     h, b = "_h", "_hb"
     keyed = df.withColumn(h, hash_key(id_col, seed)).withColumn(b, F.substring(F.col(h), 1, digits))
@@ -46,6 +51,24 @@ def hash_rank(df: DataFrame, id_col: str, seed: int = 42, by: Sequence[str] = ()
     return out.withColumn(rank_col, F.col("_off") + F.col("_rn")).drop(h, b, "_rn", "_off")
 
 
+def _hash_head(df: DataFrame, id_col: str, seed: int, by: list, rank_col: str, digits: int,
+               limit: int) -> DataFrame:
+    h, b = "_h", "_hb"
+    keyed = df.withColumn(h, hash_key(id_col, seed)).withColumn(b, F.substring(F.col(h), 1, digits))
+    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_cnt"))
+    wo = Window.partitionBy(*by).orderBy(b) if by else Window.orderBy(b)
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_cnt").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).drop("_cnt")
+    lim = F.lit(int(limit))
+    offsets = offsets.where(F.col("_off") < lim)
+    # Rows of buckets that start past the limit never reach the sort.
+    kept = keyed.join(offsets, [*by, b])
+    w = Window.partitionBy(*by, b).orderBy(F.col(h), F.col(id_col))
+    ranked = kept.withColumn(rank_col, F.col("_off") + F.row_number().over(w))
+    return ranked.where(F.col(rank_col) <= lim).drop(h, b, "_off")
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,9 +185,8 @@ def undersample_level(counts: DataFrame, ratio: float | None = 1.0, level: int |
 def undersample(df: DataFrame, id_col: str, label: str, ratio: float | None = 1.0, level: int | None = None,
                 seed: int = 42, keep_rank: bool = False) -> DataFrame:
     """Every class above the level is cut to exactly ``level`` rows, without replacement."""
-    lv = undersample_level(class_counts(df, label), ratio, level).select("level")
-    r = hash_rank(df, id_col, seed, by=[label], rank_col="_rk")
-    out = r.crossJoin(F.broadcast(lv)).where(F.col("_rk") <= F.col("level")).drop("level")
+    lv = undersample_level(class_counts(df, label), ratio, level).first()["level"]  # one number
+    out = hash_rank(df, id_col, seed, by=[label], rank_col="_rk", limit=int(lv))
     return out if keep_rank else out.drop("_rk")
 
 
