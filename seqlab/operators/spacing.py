@@ -61,11 +61,20 @@ def ecdf(values: DataFrame, col: str, tie: str, **scan_kw) -> DataFrame:
     return ranked.withColumn("ecdf_pct", F.col("_i") * F.lit(100.0) / F.lit(float(max(n, 1)))).drop("_i")
 
 
-def spacing_stats(spaced: DataFrame) -> DataFrame:
-    """Count, mean, median, sample std, min, max of the spacings."""
+def spacing_stats(spaced: DataFrame, tie: str | None = None, **scan_kw) -> DataFrame:
+    """Count, mean, median, sample std, min, max of the spacings.
+
+    With ``tie`` the median is picked by rank (no value-count map, safe for a
+    continuous column of any size); without it Spark's exact ``median``.
+    """
     d = spaced.where(F.col("diff").isNotNull())
+    if tie is not None:
+        (med,) = exact_quantiles(d.select("diff", tie), "diff", tie, [0.5], **scan_kw)
+        median = F.lit(med).cast("double")
+    else:
+        median = F.median("diff")
     return d.agg(F.count("diff").alias("n"), F.avg("diff").alias("mean"),
-                 F.median("diff").alias("median"), F.stddev_samp("diff").alias("std"),
+                 median.alias("median"), F.stddev_samp("diff").alias("std"),
                  F.min("diff").alias("min"), F.max("diff").alias("max"))
 
 

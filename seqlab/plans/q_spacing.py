@@ -88,7 +88,7 @@ select count(diff) as n, round(avg(diff), 6) as mean, round(median(diff), 6) as
 
 @register("A17_spacing_stats", A17_SQL)
 def a17_spacing_stats(spark, sf_dir):
-    st = SP.spacing_stats(spaced(spark, sf_dir))
+    st = SP.spacing_stats(spaced(spark, sf_dir), "id")
     return st.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")], "min", "max")
 
 
