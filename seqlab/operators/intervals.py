@@ -29,12 +29,16 @@ def interval_grid_width(iv: DataFrame, lo: str, hi: str) -> float:
 
 
 def label_by_intervals(df: DataFrame, pos: str, iv: DataFrame, start: str, end: str,
-                       out: str = "in_interval", strategy: str = "auto") -> DataFrame:
+                       out: str = "in_interval", strategy: str = "auto", tie: str | None = None,
+                       salt: int = 8) -> DataFrame:
     """Add ``out`` = 1 where ``end <= pos <= start`` for any interval, else 0.
 
     ``start >= end`` as in a descending chainage.  ``strategy``: ``broadcast``
     ships the exploded interval cells to every task (size checked in ``auto``);
-    ``shuffle`` co-partitions rows and cells on the cell id.
+    ``shuffle`` co-partitions rows and cells on (cell, salt): rows take a salt
+    from a hash of ``tie`` (or of the position) and every cell is copied once
+    per salt, so a grid cell holding a large share of the rows is spread over
+    ``salt`` tasks.
     """
     ivs = iv.select(F.least(start, end).alias("_iv_lo"), F.greatest(start, end).alias("_iv_hi")) \
         .where(F.col("_iv_lo").isNotNull() & F.col("_iv_hi").isNotNull())
@@ -43,14 +47,18 @@ def label_by_intervals(df: DataFrame, pos: str, iv: DataFrame, start: str, end:
         F.floor(F.col("_iv_lo") / F.lit(width)), F.floor(F.col("_iv_hi") / F.lit(width)))).alias("_iv_cell"))
     if strategy == "auto":
         strategy = "broadcast" if cells.count() <= BROADCAST_INTERVAL_ROWS else "shuffle"
+    rows = df.withColumn("_row_cell", F.floor(F.col(pos) / F.lit(width)))
     if strategy == "broadcast":
         cells = F.broadcast(cells)
-    elif strategy == "shuffle":
-        cells = cells.hint("shuffle_merge")
-    rows = df.withColumn("_row_cell", F.floor(F.col(pos) / F.lit(width)))
-    hit = cells.where((F.col("_iv_cell") == F.col("_row_cell").outer())
-                      & (F.col(pos).outer() >= F.col("_iv_lo")) & (F.col(pos).outer() <= F.col("_iv_hi")))
-    return rows.withColumn(out, hit.exists().cast("int")).drop("_row_cell")
+        cond = F.col("_iv_cell") == F.col("_row_cell").outer()
+    else:
+        key = F.col(tie) if tie is not None else F.col(pos)
+        rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int"))
+        cells = cells.withColumn("_iv_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) \
+            .hint("shuffle_merge")
+        cond = (F.col("_iv_cell") == F.col("_row_cell").outer()) & (F.col("_iv_salt") == F.col("_row_salt").outer())
+    hit = cells.where(cond & (F.col(pos).outer() >= F.col("_iv_lo")) & (F.col(pos).outer() <= F.col("_iv_hi")))
+    return rows.withColumn(out, hit.exists().cast("int")).drop("_row_cell", "_row_salt")
 
 
 def split_by_membership(df: DataFrame, key: str, train_keys: Sequence, test_keys: Sequence,

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.operators.joins import broadcast_if_small
+
 
 def hash_key(id_col: str | Column, seed: int) -> Column:
     """``md5('<seed>:<id>')`` as a hex string (DuckDB: ``md5('42:' || id)``)."""
@@ -94,7 +96,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     n_test = F.ceil(F.lit(test_size) * F.sum("n").over(Window.partitionBy()).cast("double"))
     alloc = largest_remainder(counts, label, n_test, "_n_test").select(label, "_n_test")
     ranked = hash_rank(df, id_col, seed, by=[label], rank_col="_rk")
-    return (ranked.join(F.broadcast(alloc), label)  # one row per class
+    return (ranked.join(broadcast_if_small(alloc), label)  # one row per class, size checked
             .withColumn(side, F.when(F.col("_rk") <= F.col("_n_test"), "test").otherwise("train"))
             .drop("_rk", "_n_test"))
 

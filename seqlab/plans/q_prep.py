@@ -21,7 +21,7 @@ from rec r"""
 
 def _j1(spark, sf_dir, strategy):
     r = records(spark, sf_dir).select("id", "pos")
-    return label_by_intervals(r, "pos", intervals(spark, sf_dir), "iv_start", "iv_end", strategy=strategy)
+    return label_by_intervals(r, "pos", intervals(spark, sf_dir), "iv_start", "iv_end", strategy=strategy, tie="id")
 
 
 @register("J1_interval_label", J1_SQL)
