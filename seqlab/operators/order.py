@@ -45,6 +45,7 @@ class BlockPlan:
 
     cuts: list[float] = field(default_factory=list)
     hot_ids: dict[float, list] = field(default_factory=dict)
+    n_rows: int | None = None
 
     @property
     def max_rows(self) -> int:
@@ -52,29 +53,45 @@ class BlockPlan:
         return (len(self.cuts) + 1) * per_hot
 
 
+# Fractions of the first quantile pass: one job yields the row count and a
+# 1/1024 quantile grid, from which the cut points of up to 1024 blocks are read.
+_GRID = 1024
+
+
 def plan_blocks(df: DataFrame, pos: str, tie: str, blocks: int | None = None,
-                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, n_rows: int | None = None) -> BlockPlan:
-    """Decide the block boundaries for ``df`` ordered by ``(pos, tie)``."""
+                rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> BlockPlan:
+    """Decide the block boundaries for ``df`` ordered by ``(pos, tie)``.
+
+    One aggregate returns the row count and a quantile grid; a second quantile
+    pass is needed only for more than 1024 blocks (over ~1e9 rows at the
+    default block size).
+    """
+    p = F.col(pos).cast("double")
+    grid_fracs = [j / _GRID for j in range(1, _GRID)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(p, grid_fracs, 10_000).alias("q")).first()
+    n, grid = row["n"], [q for q in (row["q"] or [])]
     if blocks is None:
-        n = df.count() if n_rows is None else n_rows
         blocks = max(1, math.ceil(n / rows_per_block))
         parallel = df.sparkSession.sparkContext.defaultParallelism
         blocks = max(blocks, min(parallel, n // MIN_ROWS_PER_BLOCK))
-    if blocks <= 1:
-        return BlockPlan()
-    fracs = [i / blocks for i in range(1, blocks)]
+    if blocks <= 1 or n == 0:
+        return BlockPlan(n_rows=n)
     accuracy = min(max(10_000, 8 * blocks), 1_000_000)
-    qs = df.agg(F.percentile_approx(F.col(pos).cast("double"), fracs, accuracy)).first()[0]
-    qs = [q for q in (qs or []) if q is not None]
+    if blocks <= _GRID and len(grid) == _GRID - 1:
+        qs = [grid[min(max(round(i * _GRID / blocks), 1), _GRID - 1) - 1] for i in range(1, blocks)]
+    else:
+        fracs = [i / blocks for i in range(1, blocks)]
+        qs = df.agg(F.percentile_approx(p, fracs, accuracy)).first()[0] or []
+    qs = [q for q in qs if q is not None]
     mult = Counter(qs)
     hot = sorted(v for v, c in mult.items() if c >= 2)
     cuts = set(qs) | {math.nextafter(h, math.inf) for h in hot}
-    plan = BlockPlan(cuts=sorted(cuts))
+    plan = BlockPlan(cuts=sorted(cuts), n_rows=n)
     if hot:
         m = max(mult[h] for h in hot)
         sub_fracs = [j / (m + 1) for j in range(1, m + 1)]
-        rows = (df.where(F.col(pos).cast("double").isin(hot))
-                .groupBy(F.col(pos).cast("double").alias("_p"))
+        rows = (df.where(p.isin(hot))
+                .groupBy(p.alias("_p"))
                 .agg(F.percentile_approx(F.col(tie), sub_fracs, accuracy).alias("_q"))
                 .collect())
         plan.hot_ids = {r["_p"]: sorted(set(r["_q"])) for r in rows}
@@ -104,7 +121,7 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
                  steps: Mapping[str, StepFn] | None = None, cur_cols: Iterable[str] = (),
                  row_number: str | None = None, prev_prefix: str = "prev_",
                  plan: BlockPlan | None = None, blocks: int | None = None,
-                 rows_per_block: int = DEFAULT_ROWS_PER_BLOCK, n_rows: int | None = None) -> DataFrame:
+                 rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """Previous-row values and inclusive running sums over the order ``(pos, tie)``.
 
     ``lags``: columns whose previous-row value is added as ``prev_<c>``.
@@ -119,7 +136,7 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
     steps = dict(steps or {})
     carried = sorted(set(lags) | set(cur_cols) | {pos, tie})
     if plan is None:
-        plan = plan_blocks(df, pos, tie, blocks, rows_per_block, n_rows)
+        plan = plan_blocks(df, pos, tie, blocks, rows_per_block)
     keyed = assign_blocks(df, pos, tie, plan)
 
     w = Window.partitionBy(_BLK, _SUB).orderBy(F.col(pos), F.col(tie))

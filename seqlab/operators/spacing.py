@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlab.functions.exprs import safe_div
-from seqlab.operators.order import global_rank, ordered_scan
+from seqlab.operators.order import global_rank, ordered_scan, plan_blocks
 from seqlab.operators.stats import exact_quantiles, histogram
 
 def _dlit(v: float | None) -> str:
@@ -56,9 +56,10 @@ def segments(df: DataFrame, pos: str, tie: str, threshold: float, value: str, **
 def ecdf(values: DataFrame, col: str, tie: str, **scan_kw) -> DataFrame:
     """Sorted value with ``100 * i / n`` by row number (ties get distinct values)."""
     d = values.where(F.col(col).isNotNull())
-    n = d.count()
-    ranked = global_rank(d, col, tie, name="_i", n_rows=n, **scan_kw)
-    return ranked.withColumn("ecdf_pct", F.col("_i") * F.lit(100.0) / F.lit(float(max(n, 1)))).drop("_i")
+    plan = plan_blocks(d, col, tie, **scan_kw)  # also counts the rows
+    ranked = global_rank(d, col, tie, name="_i", plan=plan)
+    n = plan.n_rows or 1
+    return ranked.withColumn("ecdf_pct", F.col("_i") * F.lit(100.0) / F.lit(float(n))).drop("_i")
 
 
 def spacing_stats(spaced: DataFrame, tie: str | None = None, **scan_kw) -> DataFrame:

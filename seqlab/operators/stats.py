@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.operators.order import global_rank
+from seqlab.operators.order import global_rank, plan_blocks
 
 
 def exact_quantiles(df: DataFrame, col: str, tie: str, ps: Sequence[float], **scan_kw) -> list[float | None]:
@@ -21,14 +21,15 @@ def exact_quantiles(df: DataFrame, col: str, tie: str, ps: Sequence[float], **sc
     ``ps`` are fractions in [0, 1].  Only 2 * len(ps) values reach the driver.
     """
     d = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))).select(col, tie)
-    n = d.count()
-    if n == 0:
+    plan = plan_blocks(d, col, tie, **scan_kw)  # also counts the rows
+    n = plan.n_rows
+    if not n:
         return [None for _ in ps]
     wanted = set()
     for p in ps:
         h = (n - 1) * p
         wanted.update({math.floor(h) + 1, math.ceil(h) + 1})
-    ranked = global_rank(d, col, tie, name="_r", n_rows=n, **scan_kw)
+    ranked = global_rank(d, col, tie, name="_r", plan=plan)
     vals = {r["_r"]: r[col] for r in ranked.where(F.col("_r").isin(sorted(wanted))).collect()}
     out = []
     for p in ps:
