@@ -198,3 +198,26 @@ def best_trial(trials: DataFrame, model: str, trial: str, state: str, objective:
     return done.groupBy(model).agg(
         F.min_by(F.col(trial), F.struct(F.col(objective), F.col(trial))).alias("best_trial"),
         F.min(objective).alias("best_objective"))
+
+
+class CostEvaluator:
+    """Average prediction cost as a ``pyspark.ml`` evaluator (M9): smaller is better.
+
+    ``CostEvaluator(costs).evaluate(predictions)`` runs one aggregate over the
+    prediction table; it plugs into ``CrossValidator`` / ``TrainValidationSplit``.
+    """
+
+    def __new__(cls, costs: CostMatrix = DEFAULT_COSTS, label_col: str = "y_true",
+                prediction_col: str = "y_pred"):
+        from pyspark.ml.evaluation import Evaluator
+
+        class _CostEvaluator(Evaluator):
+            def _evaluate(self, dataset):
+                t = dataset.select(F.col(label_col).cast("int").alias("y_true"),
+                                   F.col(prediction_col).cast("int").alias("y_pred"))
+                return float(prediction_costs(t, costs).first()["average_cost"])
+
+            def isLargerBetter(self) -> bool:
+                return False
+
+        return _CostEvaluator()

@@ -67,3 +67,10 @@ def test_constant_column_standardised_to_zero(spark):
     out = standardize(df, ["c", "v"]).collect()
     assert all(r.c == 0.0 for r in out)
     assert abs(sum(r.v for r in out)) < 1e-12
+
+
+def test_cost_evaluator(spark):
+    rows = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 0)] * 1 + [(1, 1)] * 2
+    ev = M.CostEvaluator()
+    assert ev.evaluate(spark.createDataFrame(rows, "y_true int, y_pred int")) == 28.5
+    assert ev.isLargerBetter() is False
