@@ -158,16 +158,20 @@ def ordered_scan(df: DataFrame, pos: str, tie: str, lags: Iterable[str] = (),
     for name in steps:
         loc = loc.withColumn(f"_ls_{name}", F.sum(F.col(f"_lf_{name}")).over(running))
 
-    # One row per block: first and last row (by (pos, tie)), local totals.
-    order_key = F.struct(F.col(pos), F.col(tie))
-    row_struct = F.struct(*[F.col(c) for c in carried])
+    # One row per block: first and last row (by (pos, tie)) and local totals.
+    # Only each block's first and last rows feed the aggregate (the last row
+    # holds the block's running totals), so the aggregate never sorts the data.
     # This summary pass is a second read of the input, but Catalyst prunes it to
     # the order and carried columns, so its scan and shuffle are narrow.
-    summary = loc.groupBy(_BLK, _SUB).agg(
-        F.count(F.lit(1)).alias("_n"),
+    order_key = F.struct(F.col(pos), F.col(tie))
+    row_struct = F.struct(*[F.col(c) for c in carried])
+    is_last = F.lead(F.lit(1)).over(w).isNull()
+    edges = loc.withColumn("_is_last", is_last).where((F.col("_rn") == 1) | F.col("_is_last"))
+    summary = edges.groupBy(_BLK, _SUB).agg(
+        F.max("_rn").alias("_n"),
         F.min_by(row_struct, order_key).alias("_first"),
         F.max_by(row_struct, order_key).alias("_last"),
-        *[F.sum(F.col(f"_lf_{name}")).alias(f"_tot_{name}") for name in steps],
+        *[F.max_by(F.col(f"_ls_{name}"), order_key).alias(f"_tot_{name}") for name in steps],
     )
     # The summary holds one row per block (bounded by plan.max_rows), so this
     # un-partitioned window is over k rows, not over the data.
