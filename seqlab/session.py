@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +65,27 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``seqlab`` importable on the executors' Python workers.
+
+    Pandas UDFs, ``applyInPandas`` functions and broadcast objects defined in
+    this package are pickled by reference, so the workers must import it.  The
+    package is zipped once per application and added with ``addPyFile`` (what
+    ``--py-files`` does at submit time).  A no-op when already shipped.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="seqlab-pkg-")) / "seqlab.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("seqlab") / f.relative_to(root))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)

@@ -20,4 +20,6 @@ def spark():
          .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from seqlab.session import ship_package
+    ship_package(s)
     yield s
