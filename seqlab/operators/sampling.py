@@ -140,6 +140,14 @@ def section_range_split(df: DataFrame, id_col: str, label: str, section: str, tr
     return pos.unionByName(neg)
 
 
+def unlisted_sections(df: DataFrame, section: str, train_sections: Sequence[int],
+                      test_sections: Sequence[int]) -> DataFrame:
+    """Rows a section-range split drops (sections in neither list), per section (Q13: reported, not silent)."""
+    listed = list(train_sections) + list(test_sections)
+    return (df.where((F.col(section) > 0) & ~F.col(section).isin(listed))
+            .groupBy(section).agg(F.count(F.lit(1)).alias("n_dropped")))
+
+
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
                      fold: str = "fold") -> DataFrame:
     """Fold = (hash rank within class - 1) mod k."""

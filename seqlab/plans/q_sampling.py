@@ -158,3 +158,10 @@ select y, count(*) as n from rk, lv where rk <= level group by y""")
 def d7_undersample_ratio_half(spark, sf_dir):
     s = D.undersample(orders(spark, sf_dir).select("o_orderkey", "y"), "o_orderkey", "y", ratio=0.5, seed=SEED)
     return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("D3_dropped_sections", f"with {SECTIONS_CTE} select section, count(*) as n_dropped from sec "
+          "where section > 0 and section not between 1 and 18 group by section")
+def d3_dropped_sections(spark, sf_dir):
+    s = sectioned(spark, sf_dir).select("id", "section")
+    return D.unlisted_sections(s, "section", list(range(1, 16)), [16, 17, 18])
