@@ -66,6 +66,7 @@ def m8_knn_predict(spark, sf_dir):
 
 # --- outliers, oversampling, model family, search and sweep ------------------
 
+from seqlab.operators.clean import outlier_share  # noqa: E402
 from seqlab.operators.iforest import iforest_probability, remove_outliers_iforest  # noqa: E402
 from seqlab.operators import metrics as M  # noqa: E402
 from seqlab.operators.smote import smote  # noqa: E402
@@ -95,11 +96,6 @@ def o2_iforest_filter(spark, sf_dir):
 @register("O2_iforest_outlier_share")
 def o2_iforest_outlier_share(spark, sf_dir):
     p = iforest_probability(_lineitem_rows(spark, sf_dir), LI_FEATURES, "row_key", n_trees=100, seed=SEED)
-    return M_outlier_share(p)
-
-
-def M_outlier_share(p):
-    from seqlab.operators.clean import outlier_share
     return outlier_share(p.withColumn("_o", (F.col("outlier_prob") > 0.5).cast("int")), "_o")
 
 
