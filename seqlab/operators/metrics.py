@@ -157,16 +157,20 @@ def fold_summary(folds: DataFrame, setting: str, metrics: Sequence[str] = FOLD_M
 
 def study_statistics(trials: DataFrame, model: str, state: str, objective: str) -> DataFrame:
     """Per model: completed / pruned / failed trials, success rate and objective statistics
-    (population std) over completed trials (A16)."""
+    (population std) over completed trials (A16).  The median is exact and rank-based
+    (no value-count map), so it holds for a model with any number of trials."""
+    from seqlab.operators.stats import grouped_exact_quantile
+
     done = F.col(state) == "COMPLETE"
     obj = F.when(done, F.col(objective))
-    return trials.groupBy(model).agg(
+    stats = trials.groupBy(model).agg(
         F.count_if(done).alias("n_complete"), F.count_if(F.col(state) == "PRUNED").alias("n_pruned"),
         F.count_if(F.col(state) == "FAIL").alias("n_failed"),
         safe_div(F.count_if(done).cast("double"), F.count(F.lit(1))).alias("success_rate"),
         F.avg(obj).alias("objective_mean"), F.stddev_pop(obj).alias("objective_std"),
-        F.min(obj).alias("objective_min"), F.max(obj).alias("objective_max"),
-        F.median(obj).alias("objective_median"))
+        F.min(obj).alias("objective_min"), F.max(obj).alias("objective_max"))
+    med = grouped_exact_quantile(trials.where(done), [model], objective, 0.5, "objective_median")
+    return stats.join(med, model, "left")
 
 
 def best_setting(summary: DataFrame, setting: str, metric: str = "average_cost_mean") -> DataFrame:

@@ -41,7 +41,8 @@ def section_stats(sizes: DataFrame, section: str = "section", n: str = "n_sample
     """Count, mean, median, min, max, sample std of section sizes; smallest and largest section (A4).
 
     Ties on size go to the smaller section id, as a first-occurrence scan over
-    id-sorted sizes would.
+    id-sorted sizes would.  The median is Spark's exact ``median``: sizes are
+    integers, so its value-count map holds at most one entry per distinct size.
     """
     return sizes.agg(
         F.count(F.lit(1)).alias("n_sections"),

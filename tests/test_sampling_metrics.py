@@ -74,3 +74,21 @@ def test_cost_evaluator(spark):
     ev = M.CostEvaluator()
     assert ev.evaluate(spark.createDataFrame(rows, "y_true int, y_pred int")) == 28.5
     assert ev.isLargerBetter() is False
+
+
+def test_grouped_exact_quantile_matches_numpy(spark):
+    import numpy as np
+    from seqlab.operators.stats import grouped_exact_quantile
+
+    rng = np.random.default_rng(5)
+    big = rng.integers(0, 50, size=30_000).astype(float)   # hot group, many ties
+    small = rng.normal(size=301)
+    rows = [("a", float(v)) for v in big] + [("b", float(v)) for v in small] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for p in (0.5, 0.9):
+        got = {r.g: r.quantile for r in grouped_exact_quantile(df, ["g"], "x", p, accuracy=1000).collect()}
+        assert got["a"] == np.percentile(big, p * 100)
+        assert abs(got["b"] - np.percentile(small, p * 100)) < 1e-12
+        assert got["c"] == 1.0
+    one = grouped_exact_quantile(df, [], "x", 0.5).first()
+    assert one.quantile == np.percentile(np.concatenate([big, small, [1.0]]), 50)
