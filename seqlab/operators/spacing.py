@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqlab.functions.exprs import safe_div
 from seqlab.operators.order import global_rank, ordered_scan, plan_blocks
 from seqlab.operators.stats import exact_quantiles, histogram
+from seqlab.session import materialize
 
 def _dlit(v: float | None) -> str:
     """Exact SQL double literal (repr round-trips)."""
@@ -79,10 +80,17 @@ def spacing_stats(spaced: DataFrame, tie: str | None = None, **scan_kw) -> DataF
                  F.min("diff").alias("min"), F.max("diff").alias("max"))
 
 
+def _spacings(spaced: DataFrame, tie: str) -> DataFrame:
+    """The (diff, tie) table, checkpointed: the statistics below read it in
+    several jobs (quantile plan, rank pick, aggregates), and recomputing the
+    ordered scan for each would cost more than writing two narrow columns."""
+    return materialize(spaced.where(F.col("diff").isNotNull()).select("diff", tie))
+
+
 def spacing_percentiles(spaced: DataFrame, tie: str, percents: Sequence[float] = SPACING_PERCENTILES,
                         **scan_kw) -> DataFrame:
     """Each percentile of the spacings with the count strictly above it."""
-    d = spaced.where(F.col("diff").isNotNull()).select("diff", tie)
+    d = _spacings(spaced, tie)
     vals = exact_quantiles(d, "diff", tie, [p / 100.0 for p in percents], **scan_kw)
     counts = d.agg(*[F.count_if(F.col("diff") > F.lit(v)).alias(f"c{i}") for i, v in enumerate(vals)])
     stack = ", ".join(f"{_dlit(p)}, {_dlit(v)}, c{i}" for i, (p, v) in enumerate(zip(percents, vals)))
@@ -98,7 +106,7 @@ THRESHOLD_METHODS = [
 
 def gap_thresholds(spaced: DataFrame, tie: str, **scan_kw) -> DataFrame:
     """Seven candidate thresholds with the gaps above each and their total length."""
-    d = spaced.where(F.col("diff").isNotNull()).select("diff", tie)
+    d = _spacings(spaced, tie)
     q1, q3, p95, p99, p995 = exact_quantiles(d, "diff", tie, [0.25, 0.75, 0.95, 0.99, 0.995], **scan_kw)
     mean, std = d.agg(F.avg("diff"), F.stddev_samp("diff")).first()
     iqr = q3 - q1
@@ -160,6 +168,6 @@ def box_stats(df: DataFrame, col: str, tie: str, whis: float = 1.5, **scan_kw) -
 def truncated_histogram(spaced: DataFrame, tie: str, pct: float = 99.0, n_bins: int = 100,
                         **scan_kw) -> DataFrame:
     """Histogram of the spacings at or below their ``pct`` percentile."""
-    d = spaced.where(F.col("diff").isNotNull()).select("diff", tie)
+    d = _spacings(spaced, tie)
     (cut,) = exact_quantiles(d, "diff", tie, [pct / 100.0], **scan_kw)
     return histogram(d.where(F.col("diff") <= F.lit(cut)), "diff", n_bins)
