@@ -106,10 +106,10 @@ m as (select cast(c as varchar) as label, {_div('cast(tp as double)', 'cast(pp a
 f as (select *, {_div('2.0 * precision * recall', 'precision + recall')} as f1 from m)
 select label, round(precision, 6) as precision, round(recall, 6) as recall, support, round(f1, 6) as f1 from f
 union all
-select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), sum(support), round(avg(f1), 6) from f
+select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), cast(sum(support) as bigint), round(avg(f1), 6) from f
 union all
 select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-       sum(support), round(sum(f1 * support) / sum(support), 6) from f"""
+       cast(sum(support) as bigint), round(sum(f1 * support) / sum(support), 6) from f"""
 
 
 @register("A13_class_report", A13_SQL)
@@ -174,8 +174,8 @@ def t3_best_setting(spark, sf_dir):
     return M.best_setting(_summary(spark, sf_dir), "setting")
 
 
-@register("T4_settings_by_cost", f"{SM_SQL} select setting, average_cost_mean, row_number() over "
-          "(order by average_cost_mean, setting) as cost_rank from sm")
+@register("T4_settings_by_cost", f"{SM_SQL} select setting, average_cost_mean, cast(row_number() over "
+          "(order by average_cost_mean, setting) as integer) as cost_rank from sm")
 def t4_settings_by_cost(spark, sf_dir):
     return M.rank_settings(_summary(spark, sf_dir), "setting")
 

@@ -31,7 +31,7 @@ s as (select r.vec_id, r.embedding, r.y, case when rk <= n_test then 'test' else
 d as (select q.vec_id as qid, t.vec_id as tid, t.y as ty,
       sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: (x[1]::double - x[2]::double) ^ 2))) as dist
       from s q, s t where q.side = 'test' and t.side = 'train'),
-nn as (select *, row_number() over (partition by qid order by dist, tid) as nn_rank from d)"""
+nn as (select *, cast(row_number() over (partition by qid order by dist, tid) as integer) as nn_rank from d)"""
 
 
 def split_embeddings(spark, sf_dir):

@@ -67,7 +67,7 @@ def t1_sort_desc(spark, sf_dir):
 
 
 T2_SQL = f"""with {SPACED_CTE}
-select row_number() over (order by diff desc, pos) as gap_rank, prev_pos as gap_start, pos as gap_end, diff
+select cast(row_number() over (order by diff desc, pos) as integer) as gap_rank, prev_pos as gap_start, pos as gap_end, diff
 from sp where diff is not null order by diff desc, pos limit 20"""
 
 
