@@ -44,6 +44,10 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(cols) == sorted(dcols)
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    duck_types = {d[0]: str(d[1]) for d in cur.description}
+    for c, t in sdf.dtypes:
+        assert types.get(t, t) == duck_types[c], (c, t, duck_types[c])
     o1 = sorted(range(len(cols)), key=lambda i: cols[i])
     o2 = sorted(range(len(dcols)), key=lambda i: dcols[i])
     assert Counter(tuple(_norm(r[i]) for i in o1) for r in rows) == \
