@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqlab.operators import clean as C
 from seqlab.operators.sections import add_sections
+from seqlab.session import materialize
 
 
 @dataclass
@@ -50,6 +51,10 @@ def clean(df: DataFrame, cfg: CleanConfig, counter: C.StageCounter | None = None
         pos_order = F.col(cfg.pos) if cfg.ascending else -F.col(cfg.pos)
         d = track("duplicates_dropped", C.dedup_first(d, list(cfg.features), [pos_order, F.col(cfg.tie)]))
     if cfg.remove_outliers_uni and cfg.outlier_feature:
+        # The MAD step reads its input in four jobs (two exact medians); cut the
+        # lineage once instead of recomputing sections and dedup for each.
+        if counter is None:
+            d = materialize(d)
         d = track("univariate_outliers_dropped",
                   C.remove_outliers_mad(d, cfg.outlier_feature, cfg.univariate_threshold, cfg.tie))
     if cfg.remove_outliers_multi:
