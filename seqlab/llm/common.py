@@ -53,89 +53,131 @@ def word_pieces(data: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
         start = end
 
 
-def block_masks(max_bits: int, width: int = 64) -> list[int]:
+def block_masks(max_bits: int, blocks: int | None = None, width: int = 64) -> list[int]:
     """Masks of block subsets such that any two values at most ``max_bits`` apart agree under one.
 
-    2·d blocks, any d of which can hold all d differing bits; the other d blocks
-    are equal.  Longer keys than the plain d+1 blocks give: for d = 3, 20 keys of
+    Of ``blocks`` blocks (2·d unless given, at least d + 1) any d can hold all d differing bits; the
+    others are equal.  Longer keys than the plain d+1 blocks give: for d = 3, 20 keys of
     31-33 bits instead of 4 of 16, so buckets stay small on billions of rows.
     """
-    blocks = max(1, 2 * max_bits)
+    blocks = blocks or max(1, 2 * max_bits)
     cuts = [width * i // blocks for i in range(blocks + 1)]
     bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(cuts)]
     masks = [sum(c) for c in itertools.combinations(bits, blocks - max_bits)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]  # as signed longs
 
 
-def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000) -> DataFrame:
+def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000, blocks: int | None = None) -> DataFrame:
     """Links (a, b) that join the distinct values of column ``fp`` (long) as "at most max_bits apart" does.
 
     Pigeonhole blocks: each value goes to one bucket per block subset, so two
     close values share a bucket; in a bucket every pair that is not connected
-    yet is verified by its Hamming distance.  What comes out is a spanning
-    forest per bucket, not all pairs, and its union over the buckets has exactly
-    the connected components of the full link graph.  A bucket of more than
-    ``block_rows`` values is cut into blocks, and each pair of blocks is a group
-    of its own, so no task holds more than two blocks.
+    yet is verified by its Hamming distance.
     """
-    spark = fps.sparkSession
-    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v"))
-                     for i, m in enumerate(block_masks(max_bits))])
+    masks = enumerate(block_masks(max_bits, blocks))
+    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in masks])
     rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.v")
-    hot = saved(rows.groupBy("c", "v").count().where(F.col("count") > block_rows), "hot-buckets")
-    if hot.isEmpty():
-        groups = rows.select("fp", "c", "v", F.lit(0).alias("g"))
-    else:
-        nb = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block_rows)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-        groups = (rows.join(hot, ["c", "v"], "left").withColumn("nb", nb).withColumn("own", own)
-                  .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-                  .select("fp", "c", "v", (F.least("own", "other") * F.col("nb") + F.greatest("own", "other")).alias("g")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(n, "c", "v", "g").sortWithinPartitions("c", "v", "g")
+    groups = _grouped(rows, ["c", "v"], F.xxhash64("fp"), block_rows).select("fp", "c", "v", "g")
+
+    def near(p, rest):
+        import numpy as np
+
+        return np.flatnonzero(np.bitwise_count(rest ^ p) <= max_bits)
 
     def link(batches):
         import numpy as np
         import pyarrow as pa
 
-        def near(fp, starts, ends):
-            out = []
-            for s, e in zip(starts, ends):
-                rest = fp[s:e]
-                while rest.size > 1:
-                    todo, rest = [rest[0]], rest[1:]
-                    while todo and rest.size:
-                        p = todo.pop()
-                        hit = np.bitwise_count(rest ^ p) <= max_bits
-                        if hit.any():
-                            found = rest[hit]
-                            out.append(np.stack([np.full(found.size, p), found]))
-                            todo.extend(found)
-                            rest = rest[~hit]
-            return np.concatenate(out, axis=1).view(np.int64) if out else np.zeros((2, 0), np.int64)
-
-        held = None  # the last group of a batch may go on in the next one
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                cols[0] = cols[0].view(np.uint64)  # bitwise_count takes signed numbers by their absolute value
-                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            if held is None or not held[0].size:
-                continue
-            fp, c, v, g = held
-            new = np.flatnonzero((np.diff(c) != 0) | (np.diff(v) != 0) | (np.diff(g) != 0)) + 1
-            starts, ends = np.r_[0, new], np.r_[new, fp.size]
-            if b is not None:
-                held = [x[starts[-1]:] for x in held]
-                starts, ends = starts[:-1], ends[:-1]
-            big = ends - starts > 1
-            a, z = near(fp, starts[big], ends[big])
-            if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], ["a", "b"])
+        for fp, *_ in _runs(batches, 4, 1):
+            found = _forest(fp.view(np.uint64), near)  # bitwise_count takes signed numbers by their absolute value
+            if found.size:
+                fp = fp[found]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[0]), pa.array(fp[1])], ["a", "b"])
 
     return groups.mapInArrow(link, "a long, b long")
 
 
+def spanning_links(texts: DataFrame, verified, block_rows: int = 5_000) -> DataFrame:
+    """Links (a, b) between the keys ``k`` of the rows (k, fp, comp, line) of equal ``comp``.
+
+    ``verified(fp, fps, line, lines)`` gives the indices of the rows that the first one is linked to.
+    """
+    groups = _grouped(texts, ["comp"], F.xxhash64("k"), block_rows).select("line", "k.k1", "k.k2", "fp", "comp", "g")
+
+    def link(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for lines, k1, k2, fp, *_ in _runs(batches, 6, 4):
+            found = _forest(fp.view(np.uint64), verified, lines)
+            if found.size:
+                ends = [pa.StructArray.from_arrays([pa.array(k1[x]), pa.array(k2[x])], ["k1", "k2"]) for x in found]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return groups.mapInArrow(link, "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
+
+
+def _grouped(rows: DataFrame, by: list[str], spread: Column, block_rows: int) -> DataFrame:
+    """``rows`` with a group number ``g``, dealt and sorted by (by, g).
+
+    Rows of a key that has more than ``block_rows`` are cut into blocks by ``spread``,
+    and each pair of blocks is a group of its own: every pair of rows meets in
+    one, and no task holds more than two blocks of a group.
+    """
+    hot = saved(rows.groupBy(*by).count().where(F.col("count") > block_rows), "hot-groups")
+    if hot.isEmpty():
+        out = rows.withColumn("g", F.lit(0).cast("long"))
+    else:
+        out = (rows.join(hot, by, "left").withColumn("_nb", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block_rows)))
+               .withColumn("_own", F.pmod(spread, F.col("_nb"))).withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)")))
+               .withColumn("g", F.least("_own", "_other") * F.col("_nb") + F.greatest("_own", "_other")))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, *by, "g").sortWithinPartitions(*by, "g")
+
+
+def _runs(batches, width: int, first_key: int):
+    """The columns of every run of two or more rows that agree in the columns from ``first_key`` on."""
+    import numpy as np
+
+    held = None  # the last run of a batch may go on in the next one
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        if held is None or not held[0].size:
+            continue
+        keys = held[-(width - first_key):]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        starts, ends = np.r_[0, new], np.r_[new, held[0].size]
+        if b is not None:
+            starts, ends, rest = starts[:-1], ends[:-1], starts[-1]
+        big = ends - starts > 1
+        for s, e in zip(starts[big], ends[big]):
+            yield [x[s:e] for x in held]
+        if b is not None:
+            held = [x[rest:] for x in held]
+
+
+def _forest(fp, near, lines=None):
+    """Index pairs (2, n) of a spanning forest of the rows, linked as ``near`` says.
+
+    Only rows that no tree holds yet are compared, so a dense group costs a few passes, not all pairs.
+    """
+    import numpy as np
+
+    rest, out = np.arange(fp.size), []
+    while rest.size > 1:
+        todo, rest = [rest[0]], rest[1:]
+        while todo and rest.size:
+            p = todo.pop()
+            hit = near(fp[p], fp[rest]) if lines is None else near(fp[p], fp[rest], lines[p], lines[rest])
+            if hit.size:
+                out.append(np.stack([np.full(hit.size, p), rest[hit]]))
+                todo.extend(rest[hit])
+                rest = np.delete(rest, hit)
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected graph of edges (a, b): the smallest node reachable.
 
