@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from seqlab.llm import decontaminate, line_dedup, mixing, quality_rules, sharding, simhash, span_dedup
+from seqlab.llm import decontaminate, license_scan, line_dedup, mixing, quality_ordinal, quality_rules, secret_scan, sharding, simhash, span_dedup
 from seqlab.llm.common import load
 
 QUERIES = {
     "op1_benchmark_decontamination": lambda s, d: decontaminate.op1_benchmark_decontamination(load(s, d, "documents"), load(s, d, "benchmark")),
     "op2_simhash_near_dedup": lambda s, d: simhash.op2_simhash_near_dedup(load(s, d, "documents")),
     "op3_line_dedup": lambda s, d: line_dedup.op3_line_dedup(load(s, d, "documents")),
+    "op4_secret_scan": lambda s, d: secret_scan.op4_secret_scan(load(s, d, "documents")),
+    "op5_quality_ordinal": lambda s, d: quality_ordinal.op5_quality_ordinal(load(s, d, "documents"), load(s, d, "labels")),
     "op6_quality_rules": lambda s, d: quality_rules.op6_quality_rules(load(s, d, "documents")),
     "op7_substring_dedup": lambda s, d: span_dedup.op7_substring_dedup(load(s, d, "documents")),
     "op8_sharding": lambda s, d: sharding.op8_sharding(load(s, d, "documents")),
     "op9_mixing": lambda s, d: mixing.op9_mixing(load(s, d, "documents")),
+    "op10_licence_scan": lambda s, d: license_scan.op10_licence_scan(load(s, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {}
