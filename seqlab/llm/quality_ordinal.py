@@ -141,8 +141,9 @@ def _featurised(docs: DataFrame, extra: str):
 def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade); several labels of a document count by their smallest grade."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    return labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(
-        F.min("grade").alias("grade"))
+    return labels.select("doc_id", grade.cast("int").alias("grade"), "quality").where(
+        "doc_id is not null and quality is not null and grade is not null").groupBy(
+        "doc_id").agg(F.min("grade").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:

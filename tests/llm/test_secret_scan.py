@@ -68,7 +68,7 @@ def test_inference_learns_the_formats():
 
 def test_automaton_merges_and_is_a_distribution():
     rnd = random.Random(1)
-    sample = ["ab" * rnd.randint(1, 6) for _ in range(500)]
+    sample = ["ab" * (1 + int(rnd.expovariate(0.7))) for _ in range(2000)]
     a = S.Automaton(sample, symbols=2)
     live, todo = {0}, [0]
     while todo:
@@ -76,5 +76,5 @@ def test_automaton_merges_and_is_a_distribution():
             if t not in live:
                 live.add(t)
                 todo.append(t)
-    assert len(live) < 12  # the prefix tree has 13 states
+    assert len(live) <= 4  # the prefix tree has more than 13 states
     assert a.score("abab") > a.score("abba") and a.score("ab" * 3) > a.score("ba" * 3)
