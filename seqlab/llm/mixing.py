@@ -136,6 +136,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int
     cut = cut.select("rid", "sid", "block", (lo - F.col("start")).alias("at"), (hi - lo).alias("len"))
     n_shards = max(1, math.ceil((total or 0) / shard_words))
     used = mix_slots(sources, n_shards, block_words, repeat, seed).groupBy("sid", "block").agg(F.count("*").alias("copies"))
+    used = used.hint("merge")  # grown from the few rows of ``sources``, it would seem small enough to broadcast
     return rows, placed, cut.join(used, ["sid", "block"]).select("rid", "at", "len", "copies")
 
 
