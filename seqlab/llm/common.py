@@ -38,6 +38,12 @@ def text_key(text: Column | str) -> Column:
     return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(7)).alias("k2"))
 
 
+def once(value: Column) -> Column:
+    """The value, computed once: neither a filter on a generator's output is pushed below it nor are
+    uses of that output replaced by its expression."""
+    return F.explode(F.array(value))
+
+
 def word_pieces(data: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
     """Words between blanks (space, tab to carriage return), about ``piece`` bytes at a time.
 
@@ -72,12 +78,13 @@ def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000, block
 
     Pigeonhole blocks: each value goes to one bucket per block subset, so two
     close values share a bucket; in a bucket every pair that is not connected
-    yet is verified by its Hamming distance.
+    yet is verified by its Hamming distance.  A bucket's key is one number, a hash of
+    the masked bits; where two buckets fall together the check tells them apart.
     """
     masks = enumerate(block_masks(max_bits, blocks))
-    keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in masks])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.v")
-    groups = _grouped(rows, ["c", "v"], F.xxhash64("fp"), block_rows).select("fp", "c", "v", "g")
+    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in masks])
+    rows = fps.select("fp", F.explode(keys).alias("bucket"))
+    groups = _grouped(rows, "bucket", F.xxhash64("fp"), block_rows)
 
     def near(p, rest):
         import numpy as np
@@ -88,7 +95,7 @@ def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000, block
         import numpy as np
         import pyarrow as pa
 
-        for fp, *_ in _runs(batches, 4, 1):
+        for fp, *_ in _runs(batches, 1):
             found = _forest(fp.view(np.uint64), near)  # bitwise_count takes signed numbers by their absolute value
             if found.size:
                 fp = fp[found]
@@ -97,18 +104,18 @@ def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000, block
     return groups.mapInArrow(link, "a long, b long")
 
 
-def spanning_links(texts: DataFrame, verified, block_rows: int = 5_000) -> DataFrame:
+def spanning_links(texts: DataFrame, verified, block_rows: int = 20_000) -> DataFrame:
     """Links (a, b) between the keys ``k`` of the rows (k, fp, comp, line) of equal ``comp``.
 
     ``verified(fp, fps, line, lines)`` gives the indices of the rows that the first one is linked to.
     """
-    groups = _grouped(texts, ["comp"], F.xxhash64("k"), block_rows).select("line", "k.k1", "k.k2", "fp", "comp", "g")
+    groups = _grouped(texts.select("line", "k.k1", "k.k2", "fp", "comp"), "comp", F.xxhash64("k1", "k2"), block_rows)
 
     def link(batches):
         import numpy as np
         import pyarrow as pa
 
-        for lines, k1, k2, fp, *_ in _runs(batches, 6, 4):
+        for lines, k1, k2, fp, *_ in _runs(batches, 4):
             found = _forest(fp.view(np.uint64), verified, lines)
             if found.size:
                 ends = [pa.StructArray.from_arrays([pa.array(k1[x]), pa.array(k2[x])], ["k1", "k2"]) for x in found]
@@ -117,36 +124,38 @@ def spanning_links(texts: DataFrame, verified, block_rows: int = 5_000) -> DataF
     return groups.mapInArrow(link, "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
 
 
-def _grouped(rows: DataFrame, by: list[str], spread: Column, block_rows: int) -> DataFrame:
-    """``rows`` with a group number ``g``, dealt and sorted by (by, g).
+def _grouped(rows: DataFrame, by: str, spread: Column, block_rows: int) -> DataFrame:
+    """``rows``, whose last column is ``by``, dealt and sorted by group.
 
     Rows of a key that has more than ``block_rows`` are cut into blocks by ``spread``,
-    and each pair of blocks is a group of its own: every pair of rows meets in
-    one, and no task holds more than two blocks of a group.
+    and each pair of blocks is a group of its own, numbered in a further last column: every pair of
+    rows meets in one, and no task holds more than two blocks of a group.
     """
-    hot = saved(rows.groupBy(*by).count().where(F.col("count") > block_rows), "hot-groups")
-    if hot.isEmpty():
-        out = rows.withColumn("g", F.lit(0).cast("long"))
-    else:
-        out = (rows.join(hot, by, "left").withColumn("_nb", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block_rows)))
-               .withColumn("_own", F.pmod(spread, F.col("_nb"))).withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)")))
-               .withColumn("g", F.least("_own", "_other") * F.col("_nb") + F.greatest("_own", "_other")))
+    hot = saved(rows.groupBy(by).count().where(F.col("count") > block_rows), "hot-groups")
+    keys = [by]
+    if not hot.isEmpty():
+        blocks = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block_rows))
+        rows = (rows.join(hot, by, "left").withColumn("_nb", blocks).withColumn("_own", F.pmod(spread, F.col("_nb")))
+                .withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)")))
+                .withColumn("g", F.least("_own", "_other") * F.col("_nb") + F.greatest("_own", "_other"))
+                .select(*rows.columns, "g"))
+        keys = [by, "g"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, *by, "g").sortWithinPartitions(*by, "g")
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def _runs(batches, width: int, first_key: int):
+def _runs(batches, first_key: int):
     """The columns of every run of two or more rows that agree in the columns from ``first_key`` on."""
     import numpy as np
 
     held = None  # the last run of a batch may go on in the next one
     for b in itertools.chain(batches, [None]):
         if b is not None:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
         if held is None or not held[0].size:
             continue
-        keys = held[-(width - first_key):]
+        keys = held[first_key:]
         new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         starts, ends = np.r_[0, new], np.r_[new, held[0].size]
         if b is not None:
