@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import saved
+from seqlab.llm.common import once, saved
 
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 2_000  # documents whose paragraphs train "unknown", about
@@ -76,11 +76,6 @@ def _grams(rows: DataFrame, line: str, out: str) -> DataFrame:
     return words.withColumn(out, F.when(n >= 2, hashes).otherwise(F.array().cast("array<bigint>"))).drop("_w")
 
 
-def _once(value: Column) -> Column:
-    """The value, computed once: a filter on the output of a generator is not pushed below it, where it would compute it again."""
-    return F.explode(F.array(value))
-
-
 def templates(spark: SparkSession) -> DataFrame:
     """(family, tid, grams) of the templates."""
     rows = [{"family": f, "tid": f"{f}-{i}", "line": t} for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
@@ -95,7 +90,7 @@ def paragraphs(docs: DataFrame, vocabulary: list[int]) -> DataFrame:
     known = F.lit(json.dumps(vocabulary))
     vocab = docs.sparkSession.range(1).select(F.from_json(known, "array<bigint>").alias("vocab"))  # of the templates
     rows = _grams(lines, "line", "grams").crossJoin(F.broadcast(vocab))
-    return rows.select("doc_id", "th", "no", _once(F.array_intersect("grams", "vocab")).alias("hit")).where(F.size("hit") > 0)
+    return rows.select("doc_id", "th", "no", once(F.array_intersect("grams", "vocab")).alias("hit")).where(F.size("hit") > 0)
 
 
 def _kept(seed: str, share: float) -> Column:
@@ -150,7 +145,7 @@ class LicenceModel:
         one = self.row(rows.sparkSession)  # one row, bounded by the templates
         add = F.aggregate("hit", F.col("intercepts"), lambda a, g: F.when(F.map_contains_key("weights", g), F.zip_with(
             a, F.element_at("weights", g), lambda x, y: x + y)).otherwise(a))
-        return rows.crossJoin(F.broadcast(one)).select(*rows.columns, _once(add).alias("scores"))
+        return rows.crossJoin(F.broadcast(one)).select(*rows.columns, once(add).alias("scores"))
 
 
 def _log_sum(temperature: float, top: Column) -> Column:

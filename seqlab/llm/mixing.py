@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import saved
+from seqlab.llm.common import once, saved
 
 WEIGHTS, REPEAT = (5, 2, 1), 3
 BLOCK_WORDS = 64
@@ -111,7 +111,7 @@ def mix_slots(sources: DataFrame, n_shards: int, block_words: int = BLOCK_WORDS,
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, seed: int = 1, bucket_rows: int = 20_000):
+        shard_words: int = SHARD_WORDS, seed: int = 1, bucket_rows: int = 4_000):
     """(rows, pieces): the rows of ``docs`` with rid, size, source_size and target, and the parts
     (rid, at, len, copies) of their words that the mix takes."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORDS)).cast("long")
@@ -150,12 +150,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     turns = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("_pieces", lambda p: p["copies"])) - 1), lambda turn: F.array_join(
         F.transform(F.filter("_pieces", lambda p: p["copies"] > turn), lambda p: F.array_join(
             F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["len"].cast("int")), " ")), " "))
-    once = F.forall("_pieces", lambda p: p["copies"] == 1) & (
+    plain = F.forall("_pieces", lambda p: p["copies"] == 1) & (
         F.aggregate("_pieces", F.lit(0).cast("long"), lambda a, p: a + p["len"]) == F.col("_size"))
     joined = rows.join(got, rows["_rid"] == F.col("_piece_rid"))
-    joined = joined.withColumn("_words", F.when(once, F.array().cast("array<string>")).otherwise(words))
-    text = F.when(once, F.col("text")).otherwise(F.array_join(turns, "\n"))
-    joined = joined.withColumn("_mixed", text)
+    joined = joined.withColumn("_words", once(F.when(~plain, words)))
+    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(turns, "\n"))
+    joined = joined.withColumn("_mixed", once(text))
     return joined.select(*[F.col("_mixed").alias(c) if c == "text" else F.length("_mixed").cast(dict(docs.dtypes)[c]).alias(c)
                            if c == "n_chars" else F.col(c) for c in docs.columns])
 
