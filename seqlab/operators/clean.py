@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from seqlab.operators.stats import exact_quantiles
+from seqlab.session import materialize
 
 
 def choose_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,10 +54,12 @@ def mad_scores(df: DataFrame, col: str, tie: str | None = None, **scan_kw) -> tu
     """Modified z-score ``0.6745 * |x - median| / MAD`` (O1).
 
     MAD = 0: a zero deviation scores 0 (kept), any other scores +inf (dropped).
-    Both medians are exact, chosen by rank, not via a value-count map.
+    Both medians are exact, chosen by rank, not via a value-count map.  Without a
+    unique ``tie`` column the values are written once with a row number, so that
+    the ranking, which reads them twice, sees the same numbers.
     """
-    work = df if tie is not None else df.withColumn("_tie", F.monotonically_increasing_id())
     t = tie or "_tie"
+    work = df.select(col, t) if tie is not None else materialize(df.select(col, F.monotonically_increasing_id().alias("_tie")))
     (med,) = exact_quantiles(work, col, t, [0.5], **scan_kw)
     dev = work.select(F.abs(F.col(col) - F.lit(med)).alias("_dev"), F.col(t))
     (mad,) = exact_quantiles(dev, "_dev", t, [0.5], **scan_kw)

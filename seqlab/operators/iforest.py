@@ -79,18 +79,13 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int
     """Node table of the forest (one row per node)."""
     n = df.count()
     psi = max(1, min(psi, n))
-    cols = [id_col, *features]
-    if n >= n_trees * psi:
-        ranked = hash_rank(df.select(*cols), id_col, seed, rank_col="_rk", limit=n_trees * psi)
-        sample = (ranked
-                  .withColumn("_tree", ((F.col("_rk") - 1) % n_trees).cast("int")).drop("_rk"))
-    else:
-        # Fewer rows than trees * psi: each tree draws its own psi rows.  The
-        # replication is bounded by n_trees * n < n_trees^2 * psi rows.
-        rep = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
-        rep = rep.withColumn("_tid", F.concat(F.col("_tree").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
-        ranked = hash_rank(rep, "_tid", seed, by=["_tree"], rank_col="_rk", limit=psi)
-        sample = ranked.drop("_rk", "_tid")
+    # The rows in hash order, read round and round: tree t takes the places t*psi .. (t+1)*psi - 1.  No tree holds a
+    # row twice, and with n_trees * psi rows or more no row is used twice.
+    places = n_trees * psi
+    ranked = hash_rank(df.select(id_col, *features), id_col, seed, rank_col="_rk", limit=min(n, places))
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(places) - F.col("_rk")) / F.lit(max(n, 1))))
+    sample = ranked.withColumn("_turn", F.explode(turns)).withColumn(
+        "_tree", F.floor((F.col("_rk") - 1 + F.col("_turn") * F.lit(n)) / F.lit(psi)).cast("int")).drop("_rk", "_turn")
     return sample.groupBy("_tree").applyInPandas(_build_tree_fn(features, psi, seed), NODE_SCHEMA)
 
 

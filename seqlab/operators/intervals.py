@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from seqlab.operators.sampling import is_listed
 
 # Interval tables up to this many exploded rows are broadcast.
 BROADCAST_INTERVAL_ROWS = 2_000_000
@@ -64,6 +65,5 @@ def label_by_intervals(df: DataFrame, pos: str, iv: DataFrame, start: str, end:
 def split_by_membership(df: DataFrame, key: str, train_keys: Sequence, test_keys: Sequence,
                         side: str = "side") -> DataFrame:
     """``side`` = train / test by membership of ``key``; rows in neither list are dropped."""
-    lab = F.when(F.col(key).isin(list(train_keys)), F.lit("train")) \
-        .when(F.col(key).isin(list(test_keys)), F.lit("test"))
+    lab = F.when(is_listed(key, train_keys), F.lit("train")).when(is_listed(key, test_keys), F.lit("test"))
     return df.withColumn(side, lab).where(F.col(side).isNotNull())

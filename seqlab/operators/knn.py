@@ -5,8 +5,8 @@ bounded number of rows.  Each query row is replicated once per chunk and each
 reference row once per block, then ``cogroup`` hands one (block, chunk) pair to
 a pandas function that computes the distances with numpy and emits only the
 local top k per query.  A window over each query's ``C * k`` candidates keeps
-the global top k.  Memory per task is bounded by the block and chunk sizes;
-no task holds a whole side, and nothing is collected to the driver.
+the global top k.  Memory per task is bounded by the block and chunk sizes and a
+tile of differences of fixed size; no task holds a whole side, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
 _QBATCH = 256
+TILE_BYTES = 32 << 20  # of differences held at once; the distances of a query batch take _QBATCH * block_rows * 8 more
 
 
 def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metric: str, exclude_self: bool,
@@ -36,8 +37,15 @@ def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metr
         kk = min(k, len(t))
         out_q, out_t, out_d = [], [], []
         for s in range(0, len(q), _QBATCH):
-            diff = qv[s:s + _QBATCH, None, :] - tv[None, :, :]
-            d = np.abs(diff).sum(-1) if metric == "manhattan" else np.sqrt((diff * diff).sum(-1))
+            qs = qv[s:s + _QBATCH]
+            d = np.empty((len(qs), len(tv)))
+            step = max(1, TILE_BYTES // (8 * max(1, qs.size)))
+            for a in range(0, len(tv), step):
+                diff = qs[:, None, :] - tv[None, a:a + step, :]
+                np.abs(diff, out=diff) if metric == "manhattan" else np.multiply(diff, diff, out=diff)
+                d[:, a:a + step] = diff.sum(-1)
+            if metric != "manhattan":
+                np.sqrt(d, out=d)
             if exclude_self:
                 d[qids[s:s + _QBATCH, None] == tids[None, :]] = np.inf
             kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
@@ -71,18 +79,25 @@ def nearest_neighbours(queries: DataFrame, ref: DataFrame, k: int, qid: str, tid
     in one plan, e.g. every fold x setting of a sweep).
     """
     by = list(by)
-    n_q, n_t = queries.count(), ref.count()
-    n_blocks = max(1, math.ceil(n_q / block_rows))
-    n_chunks = max(1, math.ceil(n_t / block_rows))
+    if by:
+        # Blocks and chunks of each group's own size.  A group without references has no neighbours.
+        def parts(d: DataFrame, name: str) -> DataFrame:
+            return d.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+        sizes = parts(queries, "_nb").join(parts(ref, "_nc"), by)
+        queries, ref = queries.join(sizes, by), ref.join(sizes, by)
+        n_blocks, n_chunks = F.col("_nb"), F.col("_nc")
+    else:
+        n_blocks = F.lit(max(1, math.ceil(queries.count() / block_rows)))
+        n_chunks = F.lit(max(1, math.ceil(ref.count() / block_rows)))
     # Fresh aliases on both sides: the two inputs often share lineage (one
     # table split in two), and cogroup needs distinct attributes.
     q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).alias(qid), F.col(vec).alias("_qvec"),
-                       F.pmod(F.xxhash64(qid), F.lit(n_blocks)).cast("int").alias("_qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_tc"))
+                       F.pmod(F.xxhash64(qid), n_blocks).cast("int").alias("_qb"),
+                       F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("_tc"))
     t = ref.select(*[F.col(c).alias(c) for c in by], F.col(tid).alias(tid), F.col(vec).alias("_tvec"),
                    *[F.col(c).alias(c) for c in extra],
-                   F.pmod(F.xxhash64(tid), F.lit(n_chunks)).cast("int").alias("_tc"),
-                   F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_qb"))
+                   F.pmod(F.xxhash64(tid), n_chunks).cast("int").alias("_tc"),
+                   F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_qb"))
     qtypes, ttypes = dict(queries.dtypes), dict(ref.select(tid, *extra).dtypes)
     schema = ", ".join([*[f"`{c}` {qtypes[c]}" for c in by], f"`{qid}` {qtypes[qid]}", f"`{tid}` {ttypes[tid]}",
                         "dist double", *[f"`{c}` {ttypes[c]}" for c in extra]])

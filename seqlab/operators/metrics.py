@@ -97,12 +97,17 @@ def evaluate(df: DataFrame, costs: CostMatrix = DEFAULT_COSTS, y_true: str = "y_
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """k x k counts over all classes seen, normalised by true row, predicted column and all."""
-    counts = df.groupBy(F.col(y_true).alias("true_class"), F.col(y_pred).alias("pred_class")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    classes = (df.select(F.col(y_true).alias("c")).union(df.select(F.col(y_pred).alias("c"))).distinct())
-    grid = classes.withColumnRenamed("c", "true_class").crossJoin(classes.withColumnRenamed("c", "pred_class"))
-    m = grid.join(counts, ["true_class", "pred_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """k x k counts over all classes seen, normalised by true row, predicted column and all.
+
+    One pass over ``df``: its class pairs are counted, and everything else works on those at most k*k counts.
+    """
+    counts = df.groupBy(F.col(y_true).alias("t"), F.col(y_pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.agg(F.collect_list(F.struct("t", "p", "n")).alias("cells"))
+    classes = F.array_sort(F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c["t"], c["p"])))))
+    grid = cells.select("cells", classes.alias("cs")).select("cells", "cs", F.explode("cs").alias("true_class"))
+    grid = grid.select("cells", "true_class", F.explode("cs").alias("pred_class"))
+    own = F.filter("cells", lambda c: c["t"].eqNullSafe(F.col("true_class")) & c["p"].eqNullSafe(F.col("pred_class")))
+    m = grid.select("true_class", "pred_class", F.coalesce(F.get(own, F.lit(0))["n"], F.lit(0)).cast("long").alias("n"))
     # The grid has k*k rows for k classes, so these windows are over a tiny table.
     row = F.sum("n").over(Window.partitionBy("true_class"))
     col = F.sum("n").over(Window.partitionBy("pred_class"))
@@ -112,28 +117,23 @@ def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
 
 
 def class_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Per class precision, recall, F1, support, plus macro and weighted averages."""
+    """Per class precision, recall, F1, support, plus macro and weighted averages (A13), in one pass."""
     cm = confusion_matrix(df, y_true, y_pred)
-    per = cm.groupBy(F.col("true_class").alias("cls")).agg(
-        F.sum(F.when(F.col("true_class") == F.col("pred_class"), F.col("n"))).alias("_tp"),
-        F.sum("n").alias("support"))
-    pred_tot = cm.groupBy(F.col("pred_class").alias("cls")).agg(F.sum("n").alias("_pp"))
-    per = per.join(pred_tot, "cls")
-    precision = safe_div(_c("_tp"), _c("_pp"))
-    recall = safe_div(_c("_tp"), _c("support"))
-    per = per.select(F.col("cls").cast("string").alias("label"), precision.alias("precision"),
-                     recall.alias("recall"), F.col("support"))
-    per = per.withColumn("f1", safe_div(F.lit(2.0) * F.col("precision") * F.col("recall"),
-                                        F.col("precision") + F.col("recall")))
-    macro = per.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.sum("support").alias("support"), F.avg("f1").alias("f1"))
+    support = F.sum("n").over(Window.partitionBy("true_class"))
+    per = cm.select("true_class", "pred_class", support.alias("support"), F.col("pct_true").alias("recall"),
+                    F.col("pct_pred").alias("precision")).where(F.col("true_class").eqNullSafe(F.col("pred_class")))
+    f1 = safe_div(F.lit(2.0) * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    per = per.select(F.col("true_class").cast("string").alias("label"), "precision", "recall", "support", f1.alias("f1"))
+    rates = ("precision", "recall", "f1")
     w = _c("support")
-    weighted = per.agg(F.lit("weighted avg").alias("label"),
-                       safe_div(F.sum(F.col("precision") * w), F.sum(w)).alias("precision"),
-                       safe_div(F.sum(F.col("recall") * w), F.sum(w)).alias("recall"),
-                       F.sum("support").alias("support"),
-                       safe_div(F.sum(F.col("f1") * w), F.sum(w)).alias("f1"))
-    return per.unionByName(macro).unionByName(weighted)
+    one = per.agg(F.collect_list(F.struct("label", "precision", "recall", "support", "f1")).alias("rows"), F.sum("support").alias("support"),
+                  *[F.avg(x).alias(f"m_{x}") for x in rates], *[safe_div(F.sum(F.col(x) * w), F.sum(w)).alias(f"w_{x}") for x in rates])
+
+    def average(name: str, p: str) -> Column:
+        return F.struct(F.lit(name).alias("label"), F.col(f"{p}_precision").alias("precision"), F.col(f"{p}_recall").alias("recall"),
+                        "support", F.col(f"{p}_f1").alias("f1"))
+    both = F.array(average("macro avg", "m"), average("weighted avg", "w"))
+    return one.select(F.explode(F.concat("rows", both)).alias("r")).select("r.label", "r.precision", "r.recall", "r.support", "r.f1")
 
 
 FOLD_METRICS = ("average_cost", "accuracy", "balanced_accuracy", "recall", "precision", "f1")
@@ -141,9 +141,12 @@ FOLD_METRICS = ("average_cost", "accuracy", "balanced_accuracy", "recall", "prec
 
 def fold_table(df: DataFrame, setting: str, fold: str, costs: CostMatrix = DEFAULT_COSTS,
                y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """One row per (setting, fold): counts, cost components, metrics."""
+    """One row per (setting, fold): counts, cost components per prediction, total and average cost, metrics."""
     cm = confusion_counts(df, y_true, y_pred, by=[setting, fold])
-    return cm.select(setting, fold, "tn", "fp", "fn", "tp", *cost_columns(costs), *rates())
+    cm = cm.select(setting, fold, "tn", "fp", "fn", "tp", *cost_columns(costs), *rates())
+    size = _c("tn") + _c("fp") + _c("fn") + _c("tp")
+    per = {f"{c}_cost": safe_div(F.col(f"{c}_cost"), size).alias(f"{c}_avg_cost") for c in ("tn", "fp", "fn", "tp")}
+    return cm.select(*[per.get(c, F.col(c)) for c in cm.columns])
 
 
 def fold_summary(folds: DataFrame, setting: str, metrics: Sequence[str] = FOLD_METRICS) -> DataFrame:

@@ -76,7 +76,7 @@ def plan_blocks(df: DataFrame, pos: str, tie: str, blocks: int | None = None,
         blocks = max(blocks, min(parallel, n // MIN_ROWS_PER_BLOCK))
     if blocks <= 1 or n == 0:
         return BlockPlan(n_rows=n)
-    accuracy = min(max(10_000, 8 * blocks), 1_000_000)
+    accuracy = max(10_000, 8 * blocks)
     if blocks <= _GRID and len(grid) == _GRID - 1:
         qs = [grid[min(max(round(i * _GRID / blocks), 1), _GRID - 1) - 1] for i in range(1, blocks)]
     else:

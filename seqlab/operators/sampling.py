@@ -10,6 +10,7 @@ sum of the sizes before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,17 +25,36 @@ def hash_key(id_col: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+BUCKET_ROWS = 250_000
+
+
+def bucket_digits(n_rows: int) -> int:
+    """Hex digits so that a bucket of one class holds ``BUCKET_ROWS`` rows on average at most; 3 (4,096 buckets) at least."""
+    return max(3, math.ceil(math.log(max(1, n_rows / BUCKET_ROWS), 16)))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``a`` joined with the small table ``b`` on equal keys, null equal to null; the keys come once."""
+    b = b.select(*[F.col(k).alias(f"_same_{k}") if k in keys else F.col(k) for k in b.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return a.join(b, on).drop(*[f"_same_{k}" for k in keys])
+
+
 def hash_rank(df: DataFrame, id_col: str, seed: int = 42, by: Sequence[str] = (), rank_col: str = "rank",
-              digits: int = 3, limit: int | None = None) -> DataFrame:
+              digits: int | None = None, limit: int | None = None) -> DataFrame:
     """1-based rank of every row within ``by`` in the order ``(md5(seed:id), id)``.
 
     ``digits`` hex digits of the hash make ``16**digits`` buckets per class; the
     rank window is partitioned by (class, bucket), so even a class holding a
-    third of all rows is spread over that many tasks.  ``id`` must be unique.
+    third of all rows is spread over that many tasks.  Unless given it follows
+    from the row count.  ``id`` must be unique.  Rows whose class is null are a class.
     ``limit``: keep only ranks <= limit (an exact-n sample); buckets that start
     past the limit are dropped before the sort, so only about ``limit`` rows
     per class are shuffled and sorted.
     """
+    digits = digits or bucket_digits(df.count())
     if limit is not None:
         return _hash_head(df, id_col, seed, list(by), rank_col, digits, limit)
     by = list(by)
@@ -49,7 +69,7 @@ def hash_rank(df: DataFrame, id_col: str, seed: int = 42, by: Sequence[str] = ()
     ranked = keyed.withColumn("_rn", F.row_number().over(w))
     # Joined on (class, bucket): the same keys the rank window is partitioned
     # by, so the big side is not shuffled again.
-    out = ranked.join(offsets, [*by, b], "left")
+    out = _same(ranked, offsets, [*by, b])
     return out.withColumn(rank_col, F.col("_off") + F.col("_rn")).drop(h, b, "_rn", "_off")
 
 
@@ -65,7 +85,7 @@ def _hash_head(df: DataFrame, id_col: str, seed: int, by: list, rank_col: str, d
     lim = F.lit(int(limit))
     offsets = offsets.where(F.col("_off") < lim)
     # Rows of buckets that start past the limit never reach the sort.
-    kept = keyed.join(offsets, [*by, b])
+    kept = _same(keyed, offsets, [*by, b])
     w = Window.partitionBy(*by, b).orderBy(F.col(h), F.col(id_col))
     ranked = kept.withColumn(rank_col, F.col("_off") + F.row_number().over(w))
     return ranked.where(F.col(rank_col) <= lim).drop(h, b, "_off")
@@ -96,7 +116,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float =
     n_test = F.ceil(F.lit(test_size) * F.sum("n").over(Window.partitionBy()).cast("double"))
     alloc = largest_remainder(counts, label, n_test, "_n_test").select(label, "_n_test")
     ranked = hash_rank(df, id_col, seed, by=[label], rank_col="_rk")
-    return (ranked.join(broadcast_if_small(alloc), label)  # one row per class, size checked
+    return (_same(ranked, broadcast_if_small(alloc), [label])  # one row per class, size checked
             .withColumn(side, F.when(F.col("_rk") <= F.col("_n_test"), "test").otherwise("train"))
             .drop("_rk", "_n_test"))
 
@@ -120,14 +140,27 @@ def group_split(df: DataFrame, id_col: str, section: str, train_size: float = 0.
     return keyed.join(sides, "_grp").drop("_grp")
 
 
+def is_listed(section: str, listed: Sequence[int]) -> Column:
+    """Membership in a list of sections; a ``range`` of any length is one comparison."""
+    if isinstance(listed, range) and listed.step == 1:
+        return (F.col(section) >= listed.start) & (F.col(section) < listed.stop)
+    return F.col(section).isin(list(listed))
+
+
+def section_ranges(n_sections: int, train: int = 15, test: int = 3) -> tuple[range, range]:
+    """Sections 1..n listed whole: the first ``train`` parts of ``train + test`` (rounded up), then the others."""
+    cut = -(-n_sections * train // (train + test))
+    return range(1, cut + 1), range(cut + 1, n_sections + 1)
+
+
 def section_range_split(df: DataFrame, id_col: str, label: str, section: str, train_sections: Sequence[int],
                         test_sections: Sequence[int], seed: int = 42, side: str = "side") -> DataFrame:
     """Label-1 rows by listed section; label-0 rows: the first ``int(n0 * f)`` by hash rank
     to train, ``f`` = train share of listed label-1 rows (0.75 if none) (D3).
     Sections in neither list are dropped."""
     pos = df.where(F.col(section) > 0)
-    pos = pos.withColumn(side, F.when(F.col(section).isin(list(train_sections)), "train")
-                         .when(F.col(section).isin(list(test_sections)), "test")).where(F.col(side).isNotNull())
+    pos = pos.withColumn(side, F.when(is_listed(section, train_sections), "train")
+                         .when(is_listed(section, test_sections), "test")).where(F.col(side).isNotNull())
     neg = df.where(F.col(section) == 0)
     share = pos.agg(F.count_if(F.col(side) == "train").alias("_tr"), F.count(F.lit(1)).alias("_all"))
     share = share.select(F.when(F.col("_all") > 0, F.col("_tr") / F.col("_all")).otherwise(F.lit(0.75))
@@ -143,8 +176,8 @@ def section_range_split(df: DataFrame, id_col: str, label: str, section: str, tr
 def unlisted_sections(df: DataFrame, section: str, train_sections: Sequence[int],
                       test_sections: Sequence[int]) -> DataFrame:
     """Rows a section-range split drops (sections in neither list), per section (Q13: reported, not silent)."""
-    listed = list(train_sections) + list(test_sections)
-    return (df.where((F.col(section) > 0) & ~F.col(section).isin(listed))
+    listed = is_listed(section, train_sections) | is_listed(section, test_sections)
+    return (df.where((F.col(section) > 0) & ~listed)
             .groupBy(section).agg(F.count(F.lit(1)).alias("n_dropped")))
 
 

@@ -109,12 +109,13 @@ def gap_thresholds(spaced: DataFrame, tie: str, **scan_kw) -> DataFrame:
     d = _spacings(spaced, tie)
     q1, q3, p95, p99, p995 = exact_quantiles(d, "diff", tie, [0.25, 0.75, 0.95, 0.99, 0.995], **scan_kw)
     mean, std = d.agg(F.avg("diff"), F.stddev_samp("diff")).first()
-    iqr = q3 - q1
-    thr = [mean + 2 * std, mean + 3 * std, q3 + 1.5 * iqr, q3 + 3 * iqr, p95, p99, p995]
+    # With no spacing there are no quartiles, with one no deviation: null thresholds, no gaps above them.
+    thr = [None if std is None else mean + k * std for k in (2, 3)]
+    thr += [None if q1 is None else q3 + k * (q3 - q1) for k in (1.5, 3)] + [p95, p99, p995]
     aggs = []
     for i, t in enumerate(thr):
-        aggs += [F.count_if(F.col("diff") > F.lit(t)).alias(f"n{i}"),
-                 F.coalesce(F.sum(F.when(F.col("diff") > F.lit(t), F.col("diff"))), F.lit(0.0)).alias(f"s{i}")]
+        aggs += [F.count_if(F.col("diff") > F.lit(t).cast("double")).alias(f"n{i}"),
+                 F.coalesce(F.sum(F.when(F.col("diff") > F.lit(t).cast("double"), F.col("diff"))), F.lit(0.0)).alias(f"s{i}")]
     stack = ", ".join(f"'{m}', {_dlit(t)}, n{i}, s{i}" for i, (m, t) in enumerate(zip(THRESHOLD_METHODS, thr)))
     return d.agg(*aggs).selectExpr(
         f"stack({len(thr)}, {stack}) as (method, threshold, n_gaps, total_gap_length)")
@@ -154,14 +155,14 @@ def box_stats(df: DataFrame, col: str, tie: str, whis: float = 1.5, **scan_kw) -
     """Quartiles, whiskers (furthest values within whis * IQR) and outlier count."""
     d = df.where(F.col(col).isNotNull()).select(col, tie)
     q1, med, q3 = exact_quantiles(d, col, tie, [0.25, 0.5, 0.75], **scan_kw)
+    q1, med, q3 = (F.lit(q).cast("double") for q in (q1, med, q3))  # null without rows
     iqr = q3 - q1
     lo_f, hi_f = q1 - whis * iqr, q3 + whis * iqr
     x = F.col(col)
     return d.agg(
-        F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"), F.lit(iqr).alias("iqr"),
-        F.min(F.when(x >= F.lit(lo_f), x)).alias("whisker_low"),
-        F.max(F.when(x <= F.lit(hi_f), x)).alias("whisker_high"),
-        F.count_if((x < F.lit(lo_f)) | (x > F.lit(hi_f))).alias("n_outliers"),
+        q1.alias("q1"), med.alias("median"), q3.alias("q3"), iqr.alias("iqr"),
+        F.min(F.when(x >= lo_f, x)).alias("whisker_low"), F.max(F.when(x <= hi_f, x)).alias("whisker_high"),
+        F.count_if((x < lo_f) | (x > hi_f)).alias("n_outliers"),
     )
 
 

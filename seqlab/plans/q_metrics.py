@@ -31,12 +31,16 @@ def rates_sql(prefix: str = "") -> str:
             f"round({rec}, 6) as {prefix}recall, round({prec}, 6) as {prefix}precision, round({f1}, 6) as {prefix}f1")
 
 
-def costs_sql(prefix: str = "") -> str:
+def costs_sql(prefix: str = "", per_prediction: bool = False) -> str:
     m = C.time_per_regular_advance
     parts = {k: f"cast({k} as double) * {getattr(C, k) * m}" for k in ("tn", "fp", "fn", "tp")}
     total = " + ".join(parts.values())
     n = "cast(tn + fp + fn + tp as double)"
-    return (", ".join(f"round({v}, 6) as {prefix}{k}_cost" for k, v in parts.items())
+    if per_prediction:
+        shown = ", ".join(f"round({_div(f'({v})', n)}, 6) as {prefix}{k}_avg_cost" for k, v in parts.items())
+    else:
+        shown = ", ".join(f"round({v}, 6) as {prefix}{k}_cost" for k, v in parts.items())
+    return (shown
             + f", round({total}, 6) as {prefix}total_cost, round({_div(total, n)}, 6) as {prefix}average_cost")
 
 
@@ -127,7 +131,7 @@ cm as (select setting, fold, count(*) filter (where y_true = 0 and y_pred = 0) a
        count(*) filter (where y_true = 0 and y_pred = 1) as fp, count(*) filter (where y_true = 1 and y_pred = 0) as fn,
        count(*) filter (where y_true = 1 and y_pred = 1) as tp from f group by setting, fold)"""
 
-FT_SQL = f"{FOLD_SQL}, ft as (select setting, fold, tn, fp, fn, tp, {costs_sql()}, {rates_sql()} from cm)"
+FT_SQL = f"{FOLD_SQL}, ft as (select setting, fold, tn, fp, fn, tp, {costs_sql(per_prediction=True)}, {rates_sql()} from cm)"
 
 
 def _folded(spark, sf_dir):

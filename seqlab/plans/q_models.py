@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlab.operators.knn import knn_predict, nearest_neighbours
-from seqlab.operators.sampling import stratified_split
+from seqlab.functions.exprs import safe_div
+from seqlab.operators.sampling import stratified_kfold, stratified_split
 from seqlab.plans.catalog import register
+from seqlab.session import materialize
 from seqlab.sources.readers import read_table
 
 SEED = 42
@@ -170,8 +172,6 @@ def m2_dispatch_knn(spark, sf_dir):
 @register("H3_study_logistic_regression")
 def h3_study(spark, sf_dir):
     train, _ = _split_tables(spark, sf_dir)
-    from seqlab.operators.sampling import stratified_kfold
-    from seqlab.session import materialize
     folded = materialize(stratified_kfold(train, "vec_id", "y", 5, SEED))
     return H.run_study(spark, folded, _base_cfg(), "logistic_regression", n_trials=5, k=5, seed=SEED)
 
@@ -184,18 +184,13 @@ def h4_batch_models(spark, sf_dir):
     return comp
 
 
-_SWEEPS: dict[str, object] = {}
-
-
 def _sweep_counts(spark, sf_dir):
-    if sf_dir not in _SWEEPS:
-        train, test = _split_tables(spark, sf_dir)
-        # The sweep model is the stored kNN configuration, whose 30 x 6 fits
-        # run as one plan (one group per fold set x ratio).
-        cfg = _base_cfg("knn", MODEL_PARAMS["knn"])
-        _SWEEPS[sf_dir] = H.knn_undersampling_sweep(spark, train, test, cfg, H.ratio_grid(0.5, 8.0, 30), k=5,
-                                                    seed=SEED).collect()
-    return spark.createDataFrame(_SWEEPS[sf_dir], H.SWEEP_SCHEMA)
+    train, test = _split_tables(spark, sf_dir)
+    # The sweep model is the stored kNN configuration, whose 30 x 6 fits
+    # run as one plan (one group per fold set x ratio).
+    cfg = _base_cfg("knn", MODEL_PARAMS["knn"])
+    counts = H.knn_undersampling_sweep(spark, train, test, cfg, H.ratio_grid(0.5, 8.0, 30), k=5, seed=SEED)
+    return materialize(counts)  # 180 rows that the summaries read several times
 
 
 @register("H5_undersampling_sweep")
@@ -225,5 +220,8 @@ def h6_sweep_confusion_matrices(spark, sf_dir):
     counts = _sweep_counts(spark, sf_dir).where(F.col("fold") == -1)
     ratios = sorted(r[0] for r in counts.select("undersample_fraction").collect())
     picks = [ratios[i] for i in H.spaced_indices(len(ratios), 6)]
+    n0, n1 = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
+    share = {"tn": n0, "fp": n0, "fn": n1, "tp": n1}  # normalised by true class
     return counts.where(F.col("undersample_fraction").isin(picks)).select(
-        "undersample_fraction", "undersample_level", "tn", "fp", "fn", "tp")
+        "undersample_fraction", "undersample_level", "tn", "fp", "fn", "tp",
+        *[safe_div(F.col(c), n).alias(f"{c}_share") for c, n in share.items()])

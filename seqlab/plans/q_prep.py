@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqlab.operators.sampling import section_ranges
+from seqlab.session import materialize
 from seqlab.functions.exprs import class_name, prob_to_label, torque_ratio
 from seqlab.operators import clean as C
 from seqlab.operators.bins import grid_cells, rebase_axis
@@ -34,15 +36,15 @@ def j1_interval_label_shuffled(spark, sf_dir):
     return _j1(spark, sf_dir, "shuffle")
 
 
-J2_SQL = f"""with {SECTIONS_CTE}
-select id, section, case when section between 1 and 15 then 'train' else 'test' end as side
-from sec where section between 1 and 18"""
+J2_SQL = f"""with {SECTIONS_CTE}, cutoff as (select (max(section) * 15 + 17) // 18 as cut from sec)
+select id, section, case when section <= cut then 'train' else 'test' end as side
+from sec, cutoff where section > 0"""
 
 
 @register("J2_section_membership", J2_SQL)
 def j2_section_membership(spark, sf_dir):
-    s = sectioned(spark, sf_dir).select("id", "section")
-    return split_by_membership(s, "section", list(range(1, 16)), [16, 17, 18])
+    s = materialize(sectioned(spark, sf_dir).select("id", "section"))
+    return split_by_membership(s, "section", *section_ranges(s.agg(F.max("section")).first()[0]))
 
 
 P7_SQL = f"""with rec as ({RECORDS_SQL}), mm as (select min(pos) as mn, max(pos) as mx from rec)
@@ -253,6 +255,6 @@ def p15_stage_row_counts(spark, sf_dir):
     obs_session = spark.newSession()
     r = records(obs_session, sf_dir).select("id", "pos", "label", "value", "user_id")
     counter = C.StageCounter()
-    out = clean(r, _clean_cfg(), counter=counter, check_not_empty=False)
+    out = clean(r, _clean_cfg(), counter=counter)
     out.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(counter.rows(), "stage int, name string, rows_in bigint, rows_out bigint")

@@ -8,6 +8,7 @@ from seqlab.operators import sampling as D
 from seqlab.plans.catalog import register
 from seqlab.plans.q_order import SECTIONS_CTE, sectioned
 from seqlab.sources.readers import read_table
+from seqlab.session import materialize
 
 SEED = 42
 ORD_SQL = ("select o_orderkey, o_orderstatus, cast(o_orderstatus = 'F' as integer) as y, o_totalprice, "
@@ -58,15 +59,21 @@ gs as (select grp, row_number() over (order by md5('42:' || grp), grp) as grk, c
 select g.id, case when grk <= floor(0.75 * ng) then 'train' else 'test' end as side from g join gs using (grp)"""
 
 
+def _sections_once(spark, sf_dir, *more):
+    """The narrow section table, computed once: every step of a split reads it again."""
+    return materialize(sectioned(spark, sf_dir).select("id", *more, "section"))
+
+
 @register("D2_group_split", D2_SQL)
 def d2_group_split(spark, sf_dir):
-    s = sectioned(spark, sf_dir).select("id", "section")
+    s = _sections_once(spark, sf_dir)
     return D.group_split(s, "id", "section", 0.75, SEED).select("id", "side")
 
 
 D3_CTE = f"""{SECTIONS_CTE},
-p as (select id, label, section, case when section between 1 and 15 then 'train' else 'test' end as side
-      from sec where section between 1 and 18),
+cutoff as (select (max(section) * 15 + 17) // 18 as cut from sec),
+p as (select id, label, section, case when section <= cut then 'train' else 'test' end as side
+      from sec, cutoff where section > 0),
 f as (select case when count(*) > 0 then count(*) filter (where side = 'train') * 1.0 / count(*) else 0.75 end
       as f from p),
 n as (select id, label, section, row_number() over (order by md5('42:' || id), id) as rk,
@@ -78,8 +85,9 @@ split as (select id, label, section, side from p
 
 
 def _d3(spark, sf_dir):
-    s = sectioned(spark, sf_dir).select("id", "label", "section")
-    return D.section_range_split(s, "id", "label", "section", list(range(1, 16)), [16, 17, 18], SEED)
+    s = _sections_once(spark, sf_dir, "label")
+    train, test = D.section_ranges(s.agg(F.max("section")).first()[0])
+    return D.section_range_split(s, "id", "label", "section", train, test, SEED)
 
 
 @register("D3_section_range_split", f"with {D3_CTE} select id, side from split")
@@ -118,7 +126,7 @@ from sec where section = 0"""
 
 @register("D5_stratified_group_kfold", D5_SQL)
 def d5_stratified_group_kfold(spark, sf_dir):
-    s = sectioned(spark, sf_dir).select("id", "section")
+    s = _sections_once(spark, sf_dir)
     return D.stratified_group_kfold(s, "id", "section", 5, SEED).select("id", "fold")
 
 
@@ -164,4 +172,4 @@ def d7_undersample_ratio_half(spark, sf_dir):
           "where section > 0 and section not between 1 and 18 group by section")
 def d3_dropped_sections(spark, sf_dir):
     s = sectioned(spark, sf_dir).select("id", "section")
-    return D.unlisted_sections(s, "section", list(range(1, 16)), [16, 17, 18])
+    return D.unlisted_sections(s, "section", range(1, 16), range(16, 19))
