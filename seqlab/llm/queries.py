@@ -18,4 +18,50 @@ QUERIES = {
     "op10_licence_scan": lambda s, d: license_scan.op10_licence_scan(load(s, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = rf"""with d as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from documents),
+i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '{_ALNUM}') as ws from benchmark),
+win as (select distinct item, least(13, len(ws)) as k, array_to_string(ws[p:p + least(13, len(ws)) - 1], ' ') as w
+        from i, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as t(p) where len(ws) > 0),
+dw as (select doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') as w
+       from d, (select distinct k from win), unnest(range(1, len(ws) - k + 2)) as t(p)),
+hit as (select doc_id, p, k, item from dw join win using (k, w)),
+cover as (select doc_id, count(distinct x) as n_hit from hit, unnest(range(p, p + k)) as t(x) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+        from (select distinct doc_id, item from hit) group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join cover using (doc_id) left join its using (doc_id)"""
+
+
+def _op6() -> str:
+    from seqlab.llm.quality_rules import MIN_GROUP, RULES, SPREAD
+
+    disc = ", ".join(f"quantile_disc({r}, 0.25) as {k}_a, quantile_disc({r}, 0.75) as {k}_b" for k, (r, _) in RULES.items())
+    inside = " and ".join(
+        f"({r}) between {k}_1 - {SPREAD} * greatest({k}_3 - {k}_1, {least}) and {k}_3 + {SPREAD} * greatest({k}_3 - {k}_1, {least})"
+        for k, (r, least) in RULES.items())
+    pick = ", ".join(f"case when g.n >= {MIN_GROUP} then g.{k}_{x} else a.{k}_{x} end as {k}_{y}" for k in RULES for x, y in (("a", 1), ("b", 3)))
+    return rf"""with t as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from documents),
+w as (select doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] as g from t, unnest(range(1, len(ws) - 1)) as u(p)),
+r as (select doc_id, count(distinct x) as n from (select doc_id, p, count(*) over (partition by doc_id, g) as c from w),
+      unnest([p, p + 1, p + 2]) as u(x) where c > 1 group by doc_id),
+m as (select doc_id, lang, source, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+      coalesce(r.n, 0) as n_repeat_words, len(lines) as n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) as n_upper
+      from t left join r using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+a as (select {disc} from b where not base_failed),
+g as (select lang, source, count(*) as n, {disc} from b where not base_failed group by lang, source),
+f as (select g.lang, g.source, {pick} from g, a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       case when base_failed then false else coalesce({inside}, false) end as kept
+from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source"""
+
+
+#: SQL cannot express the others (XXH64, seeded draws, trained models); tests/llm holds them against plain Python.
+ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_quality_rules": _op6()}
