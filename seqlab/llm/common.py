@@ -95,11 +95,15 @@ def hamming_links(fps: DataFrame, max_bits: int, block_rows: int = 20_000, block
         import numpy as np
         import pyarrow as pa
 
-        for fp, *_ in _runs(batches, 1):
-            found = _forest(fp.view(np.uint64), near)  # bitwise_count takes signed numbers by their absolute value
-            if found.size:
-                fp = fp[found]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[0]), pa.array(fp[1])], ["a", "b"])
+        for (fp, *_), starts, ends in _runs(batches, 1):
+            fp = fp.view(np.uint64)  # bitwise_count takes signed numbers by their absolute value
+            two = starts[ends - starts == 2]  # most runs: all at once
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
+            found = [np.stack([two, two + 1])]
+            big = ends - starts > 2
+            found += [_forest(fp[x:y], near) + x for x, y in zip(starts[big], ends[big])]
+            found = fp[np.concatenate(found, axis=1)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     return groups.mapInArrow(link, "a long, b long")
 
@@ -115,11 +119,11 @@ def spanning_links(texts: DataFrame, verified, block_rows: int = 20_000) -> Data
         import numpy as np
         import pyarrow as pa
 
-        for lines, k1, k2, fp, *_ in _runs(batches, 4):
-            found = _forest(fp.view(np.uint64), verified, lines)
-            if found.size:
-                ends = [pa.StructArray.from_arrays([pa.array(k1[x]), pa.array(k2[x])], ["k1", "k2"]) for x in found]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        for (lines, k1, k2, fp, *_), starts, ends in _runs(batches, 4):
+            found = [_forest(fp[x:y].view(np.uint64), verified, lines[x:y]) + x for x, y in zip(starts, ends)]
+            for at in found:
+                pair = [pa.StructArray.from_arrays([pa.array(k1[x]), pa.array(k2[x])], ["k1", "k2"]) for x in at]
+                yield pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
     return groups.mapInArrow(link, "a struct<k1:long,k2:long>, b struct<k1:long,k2:long>")
 
@@ -131,9 +135,13 @@ def _grouped(rows: DataFrame, by: str, spread: Column, block_rows: int) -> DataF
     and each pair of blocks is a group of its own, numbered in a further last column: every pair of
     rows meets in one, and no task holds more than two blocks of a group.
     """
-    hot = saved(rows.groupBy(by).count().where(F.col("count") > block_rows), "hot-groups")
     keys = [by]
-    if not hot.isEmpty():
+    # Counts of 65,536 cells of keys first: where no cell holds so many rows, no key does.
+    cells = rows.groupBy(F.xxhash64(by).bitwiseAND(F.lit(0xFFFF)).alias("cell")).count()
+    hot = None
+    if (cells.agg(F.max("count")).first()[0] or 0) > block_rows:
+        hot = saved(rows.groupBy(by).count().where(F.col("count") > block_rows), "hot-groups")
+    if hot is not None and not hot.isEmpty():
         blocks = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block_rows))
         rows = (rows.join(hot, by, "left").withColumn("_nb", blocks).withColumn("_own", F.pmod(spread, F.col("_nb")))
                 .withColumn("_other", F.explode(F.expr("sequence(0L, _nb - 1)")))
@@ -145,7 +153,7 @@ def _grouped(rows: DataFrame, by: str, spread: Column, block_rows: int) -> DataF
 
 
 def _runs(batches, first_key: int):
-    """The columns of every run of two or more rows that agree in the columns from ``first_key`` on."""
+    """(columns, starts, ends) of the runs of two or more rows that agree in the columns from ``first_key`` on."""
     import numpy as np
 
     held = None  # the last run of a batch may go on in the next one
@@ -161,8 +169,7 @@ def _runs(batches, first_key: int):
         if b is not None:
             starts, ends, rest = starts[:-1], ends[:-1], starts[-1]
         big = ends - starts > 1
-        for s, e in zip(starts[big], ends[big]):
-            yield [x[s:e] for x in held]
+        yield held, starts[big], ends[big]
         if b is not None:
             held = [x[rest:] for x in held]
 
