@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqlab.operators.sampling import hash_key, hash_rank
+from seqlab.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -155,7 +156,8 @@ def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str, n_t
     """Outlier probability: anomaly score min-max scaled over the rows of ``df`` (the fitted data)."""
     nodes = fit_forest(df, features, id_col, n_trees, psi, seed).toPandas()  # bounded model
     forest = Forest(nodes, max(1, min(psi, int(nodes.groupby("tree")["size"].max().max()))))
-    scored = score_rows(df, features, forest, "_s")
+    # Written once: the minimum and maximum and the rows themselves would each score everything in Python.
+    scored = materialize(score_rows(df, features, forest, "_s"))
     mm = F.broadcast(scored.agg(F.min("_s").alias("_mn"), F.max("_s").alias("_mx")))
     prob = F.when(F.col("_mx") > F.col("_mn"), (F.col("_s") - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))) \
         .otherwise(F.lit(0.0))
