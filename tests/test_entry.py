@@ -44,7 +44,7 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(cols) == sorted(dcols)
-    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     duck_types = {d[0]: str(d[1]) for d in cur.description}
     for c, t in sdf.dtypes:
         assert types.get(t, t) == duck_types[c], (c, t, duck_types[c])
