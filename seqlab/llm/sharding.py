@@ -28,16 +28,21 @@ TASK_ROWS = 20_000
 
 
 def pack(vectors, shards: int, first: int = 0):
-    """Greedy vector bin packing of rows (largest first in column 0) -> shard per row."""
+    """Greedy vector bin packing of rows (largest first in column 0) -> shard per row.
+
+    The highest dot product with the residual capacity among the shards that have room in every
+    dimension, else among those with room in the first, else the shard least full in the first.
+    """
     import numpy as np
 
     v = vectors / np.maximum(vectors.sum(0) / shards, 1e-9)  # in shares of a shard
     load, out = np.zeros((shards, v.shape[1])), np.empty(len(v), np.int32)
     turn = np.roll(np.arange(shards), -first)
     for i, x in enumerate(v):
-        after = load[:, 0] + x[0]
+        after = load + x
         fits = after <= 1 + 1e-9
-        best = np.argmax(np.where(fits, (1 - load) @ x, -np.inf)) if fits.any() else np.argmin(after)
+        fits = fits.all(1) if fits.all(1).any() else fits[:, 0]
+        best = np.argmax(np.where(fits, (1 - load) @ x, -np.inf)) if fits.any() else np.argmin(after[:, 0])
         load[best] += x
         out[i] = turn[best]
     return out
