@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,19 @@ def test_interval_end_inclusive_and_overlaps(spark):
         assert got == {1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_intervals_of_very_different_lengths(spark):
+    rnd = random.Random(6)
+    ivs = [(x + w, x) for x, w in ((rnd.uniform(-1e4, 1e4), rnd.choice([0.0, 0.01, 1.0, 7.0, 300.0])) for _ in range(200))] + [(9e5, 2e4)]
+    pos = [rnd.uniform(-1e4, 1e4) for _ in range(2000)] + [x for s, e in ivs for x in (s, e)] + [5e5, 2e6]
+    rows = spark.createDataFrame(list(enumerate(pos)), "id long, pos double")
+    iv = spark.createDataFrame(ivs, "s double, e double")
+    want = {i: int(any(e <= p <= s for s, e in ivs)) for i, p in enumerate(pos)}
+    for strategy in ("broadcast", "shuffle"):
+        assert {r.id: r.in_interval for r in label_by_intervals(rows, "pos", iv, "s", "e", strategy=strategy).collect()} == want
+    none = label_by_intervals(rows, "pos", iv.where("false"), "s", "e")
+    assert none.where("in_interval = 0").count() == len(pos)
+
+
 def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in range(11)], "x double")
     h = histogram(df, "x", 5).orderBy("bin").collect()
