@@ -1,8 +1,8 @@
 """Sharding by vector bin packing (op 8): bytes, tokens and rows are balanced jointly.
 
-Law ``bytes``: shard sizes are near equal.  A group (rows of equal text) is a
-vector (bytes, tokens, rows) and goes to the shard with room for its bytes
-whose residual capacity has the highest dot product with it.  Groups are dealt
+Law ``bytes``: shard sizes are near equal, and so are tokens and rows.  A group (rows of equal
+text) is a vector (bytes, tokens, rows) and goes to the shard whose residual
+capacity has the highest dot product with it.  Groups are dealt
 by key hash to packing tasks of about ``task_rows`` rows; every task packs its
 groups, largest first, into its share of all shards, so the work is parallel,
 nothing passes the driver, and the tasks' small remainders start at different
@@ -28,24 +28,52 @@ TASK_ROWS = 20_000
 
 
 def pack(vectors, shards: int, first: int = 0):
-    """Greedy vector bin packing of rows (largest first in column 0) -> shard per row.
+    """Greedy vector bin packing of the rows -> shard per row.
 
-    The highest dot product with the residual capacity among the shards that have room in every
-    dimension, else among those with room in the first, else the shard least full in the first.
+    The rows come by their largest share of a shard in any dimension, greatest first (ties in the
+    order given), and each goes to the shard with the highest dot product of row and residual
+    capacity.  A residual may turn negative and then counts against its shard, so that a row without
+    room anywhere still goes where it adds least.  Last, ``even_out`` levels the first dimension.
     """
     import numpy as np
 
     v = vectors / np.maximum(vectors.sum(0) / shards, 1e-9)  # in shares of a shard
-    load, out = np.zeros((shards, v.shape[1])), np.empty(len(v), np.int32)
-    turn = np.roll(np.arange(shards), -first)
-    for i, x in enumerate(v):
-        after = load + x
-        fits = after <= 1 + 1e-9
-        fits = fits.all(1) if fits.all(1).any() else fits[:, 0]
-        best = np.argmax(np.where(fits, (1 - load) @ x, -np.inf)) if fits.any() else np.argmin(after[:, 0])
-        load[best] += x
-        out[i] = turn[best]
-    return out
+    left, out = np.ones((shards, v.shape[1])), np.empty(len(v), np.int32)
+    for i in np.argsort(-v.max(1), kind="stable"):
+        best = np.argmax(left @ v[i])
+        left[best] -= v[i]
+        out[i] = best
+    even_out(vectors, out, shards)
+    return (out + first) % shards
+
+
+def even_out(vectors, at, shards: int, rounds: int = 10) -> None:
+    """Level the first dimension in place: the fullest and the emptiest shard swap the two rows, alike in
+    the last dimension, whose difference is nearest to half their gap; at most ``rounds`` swaps a shard.
+    A shard that no swap helps (it may hold a row above a shard's share) is left as it is."""
+    import numpy as np
+
+    load, fixed = np.bincount(at, vectors[:, 0], shards), np.zeros(shards, bool)
+    for _ in range(rounds * shards):
+        high, low = np.where(fixed, -np.inf, load).argmax(), np.where(fixed, np.inf, load).argmin()
+        gap, best, pair = load[high] - load[low], 0.0, None
+        mine, other = np.flatnonzero(at == high), np.flatnonzero(at == low)
+        for kind in np.intersect1d(vectors[mine, -1], vectors[other, -1]):
+            a, b = (x[vectors[x, -1] == kind] for x in (mine, other))
+            b = b[np.argsort(vectors[b, 0], kind="stable")]
+            near = np.searchsorted(vectors[b, 0], vectors[a, 0] - gap / 2)
+            for j in (np.maximum(near - 1, 0), np.minimum(near, b.size - 1)):
+                move = vectors[a, 0] - vectors[b[j], 0]
+                gain = np.minimum(move, gap - move)
+                i = gain.argmax()
+                if gain[i] > best:
+                    best, pair = gain[i], (a[i], b[j[i]], move[i])
+        if pair is None:
+            fixed[high] = True
+            continue
+        at[pair[0]], at[pair[1]] = low, high
+        load[high] -= pair[2]
+        load[low] += pair[2]
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -71,7 +99,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, task_rows: int = TASK_R
         F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
 
     def run(pdf):
-        pdf = pdf.sort_values(["b", "t", "r", "k1", "k2", "piece"], ascending=False, kind="stable")
+        pdf = pdf.sort_values(["k1", "k2", "piece"])
         pdf["shard"] = pack(pdf[["b", "t", "r"]].to_numpy(float), shards, int(pdf["bin"].iloc[0]) * 7 % shards)
         return pdf[["bin", "k1", "k2", "piece", "shard"]]
 

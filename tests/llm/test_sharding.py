@@ -57,3 +57,20 @@ def test_pack_prefers_the_best_dot_product():
     v = np.array([[5.0, 1, 1], [5, 9, 1], [1, 9, 1], [1, 1, 9]])
     assert len(set(S.pack(v[:2], 2))) == 2
     assert S.pack(v, 2).shape == (4,)
+
+
+def test_pack_balances_every_dimension():
+    """Many short texts and few long ones: shards even in bytes must be even in rows as well."""
+    rng = np.random.default_rng(5)
+    size = np.r_[rng.integers(16, 300, 8000), rng.integers(20_000, 90_000, 300)].astype(float)
+    v = np.stack([size, size // 6, np.ones(size.size)], axis=1)
+    at = S.pack(v, 40)
+    for d, most in enumerate((0.001, 0.01, 0.01)):
+        load = np.bincount(at, v[:, d], 40)
+        assert abs(load / load.mean() - 1).max() < most
+
+
+def test_pack_levels_the_others_beside_a_row_above_a_share():
+    v = np.r_[[[5000.0, 1, 1]], np.stack([np.arange(1.0, 100), np.ones(99), np.ones(99)], axis=1)]
+    load = np.sort(np.bincount(S.pack(v, 4), v[:, 0], 4))
+    assert load[3] < 5200 and load[2] - load[0] < 10
