@@ -21,7 +21,7 @@ def embeddings(spark, sf_dir):
     return e.select("vec_id", "embedding", y.alias("y"))
 
 
-EMB_SPLIT_SQL = """e as (select vec_id, embedding, cast(embedding[1] + embedding[2] > 0 as integer) as y from embeddings),
+EMB_SIDES_SQL = """e as (select vec_id, embedding, cast(embedding[1] + embedding[2] > 0 as integer) as y from embeddings),
 r as (select *, row_number() over (partition by y order by md5('42:' || vec_id), vec_id) as rk from e),
 c as (select y, count(*) as n from e group by y),
 t as (select ceil(0.33::double * sum(n)) as nt, sum(n) as ntot from c),
@@ -29,7 +29,9 @@ b as (select y, n, nt * n / ntot as ex, floor(nt * n / ntot) as base, nt from c,
 k as (select *, ex - base as rem, nt - sum(base) over () as extra from b),
 a as (select y, base + case when row_number() over (order by rem desc, y) <= extra then 1 else 0 end as n_test from k),
 s as (select r.vec_id, r.embedding, r.y, case when rk <= n_test then 'test' else 'train' end as side
-      from r join a using (y)),
+      from r join a using (y))"""
+
+EMB_SPLIT_SQL = f"""{EMB_SIDES_SQL},
 d as (select q.vec_id as qid, t.vec_id as tid, t.y as ty,
       sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: (x[1]::double - x[2]::double) ^ 2))) as dist
       from s q, s t where q.side = 'test' and t.side = 'train'),
@@ -73,6 +75,7 @@ from seqlab.operators.iforest import iforest_probability, remove_outliers_ifores
 from seqlab.operators import metrics as M  # noqa: E402
 from seqlab.operators.smote import smote  # noqa: E402
 from seqlab.plans.models import TrainConfig, train_predict  # noqa: E402
+from seqlab.plans.q_metrics import costs_sql, rates_sql  # noqa: E402
 from seqlab.plans import search as H  # noqa: E402
 
 LI_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -144,6 +147,70 @@ MODEL_PARAMS = {
 }
 
 
+# --- the kNN model in SQL: fold set -1 is the test evaluation, 0..k-1 the folds (M2, H4, H5, H6, T3) ---
+
+def _knn_sql(grid: str, n_neighbors: int, k: int) -> str:
+    """CTE cm (fold, ri, tn, fp, fn, tp) of the uniform Euclidean kNN vote; ``grid``: a query giving (ri, lv), the
+    undersample level of each setting, which may read ``minority`` (n)."""
+    return f"""{EMB_SIDES_SQL},
+f as (select vec_id, embedding, y, cast((row_number() over (partition by y order by md5('42:' || vec_id), vec_id) - 1) % {k}
+      as integer) as fold from s where side = 'train'),
+minority as (select min(n) as n from (select count(*) as n from f group by y) z),
+grid as ({grid}),
+refs as (select p.p as fold, f.vec_id, f.embedding, f.y, row_number() over (partition by p.p, f.y
+         order by md5('42:' || f.vec_id), f.vec_id) as rk
+         from f, unnest(range(-1, {k})) as p(p) where p.p <> f.fold),
+qs as (select fold, vec_id, embedding, y from f union all select -1, vec_id, embedding, y from s where side = 'test'),
+dims as (select fold, i, avg(embedding[i]::double) as m, stddev_pop(embedding[i]::double) as sd
+         from refs, unnest(range(1, {N_DIMS + 1})) as t(i) group by fold, i),
+st as (select fold, list(m order by i) as m, list(sd order by i) as sd from dims group by fold),
+scaled_q as (select q.fold, vec_id, y, list_transform(range(1, {N_DIMS + 1}),
+             lambda i: case when sd[i] = 0 then 0.0::double else (embedding[i]::double - m[i]) / sd[i] end) as v from qs q join st using (fold)),
+scaled_t as (select r.fold, vec_id, y, rk, list_transform(range(1, {N_DIMS + 1}),
+             lambda i: case when sd[i] = 0 then 0.0::double else (embedding[i]::double - m[i]) / sd[i] end) as v from refs r join st using (fold)),
+pairs as (select q.fold, q.vec_id as qid, q.y as yt, t.vec_id as tid, t.y, t.rk, list_distance(q.v, t.v) as dist
+          from scaled_q q join scaled_t t using (fold)),
+near as (select fold, ri, qid, yt, y, row_number() over (partition by fold, ri, qid order by dist, tid) as rn
+         from pairs, grid where rk <= lv),
+votes as (select fold, ri, qid, yt, cast(count(*) filter (where y = 1) > count(*) filter (where y = 0) as integer) as yp
+          from near where rn <= {n_neighbors} group by fold, ri, qid, yt),
+cm as (select fold, ri, count(*) filter (where yt = 0 and yp = 0) as tn, count(*) filter (where yt = 0 and yp = 1) as fp,
+       count(*) filter (where yt = 1 and yp = 0) as fn, count(*) filter (where yt = 1 and yp = 1) as tp
+       from votes group by fold, ri)"""
+
+
+def _ratio_sql(lo: float, hi: float, n: int) -> str:
+    return (f"select i as ri, frac, cast(floor(n * frac) as bigint) as lv from minority, (select i, case when i = {n - 1} then {hi}::double "
+            f"else {lo}::double + i::double * (({hi}::double - {lo}::double) / {n - 1}::double) end as frac from range({n}) as t(i)) g")
+
+
+def _sweep_sql() -> str:
+    """CTE sw: the sweep's result rows, not rounded."""
+    c = M.DEFAULT_COSTS
+    cost = {x: f"{x}::double * {getattr(c, x) * c.time_per_regular_advance}::double" for x in ("tn", "fp", "fn", "tp")}
+    n = "(tn + fp + fn + tp)"
+    div = lambda a, b: f"coalesce(({a})::double / nullif(({b})::double, 0), 0)"
+    rec, spec, prec = div("tp", "tp + fn"), div("tn", "tn + fp"), div("tp", "tp + fp")
+    per = {"average_cost": div(" + ".join(cost.values()), n), "accuracy": div("tp + tn", n), "recall": rec, "specificity": spec,
+           "balanced_accuracy": f"({rec} + {spec}) / 2.0::double", "precision": prec, "f1": div(f"2.0::double * {prec} * {rec}", f"{prec} + {rec}")}
+    cv = ", ".join(f"avg({m}) as {m}_cv, stddev_pop({m}) as {m}_std" if m != "average_cost"
+                   else f"avg({m}) as cost_average, stddev_pop({m}) as cost_average_std" for m in per)
+    counts = ", ".join(f"avg({x}) as {x}_avg, avg({div(v, n)}) as {x}_avg_cost" for x, v in cost.items())
+    test = ", ".join([*(f"{v} as {x}_total_cost" for x, v in cost.items()), f"{' + '.join(cost.values())} as cost_total",
+                      *(f"{m} as test_{m}" for m in per), "recall as test_sensitivity"])
+    return f"""{_knn_sql(_ratio_sql(0.5, 8.0, 30), MODEL_PARAMS["knn"]["n_neighbors"], 5)},
+per as (select *, {', '.join(f'{v} as {m}' for m, v in per.items())} from cm),
+cvs as (select ri, {cv}, {counts} from per where fold >= 0 group by ri),
+tst as (select ri, {test} from per where fold = -1),
+sw as (select round(frac, 6) as undersample_fraction, lv as undersample_level, cvs.* exclude (ri), tst.* exclude (ri)
+       from cvs join tst using (ri) join grid using (ri))"""
+
+
+def _r(df):
+    """Round every double column to 6 digits."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 @register("M4_logistic_regression")
 def m4_logistic_regression(spark, sf_dir):
     return _eval_model(spark, sf_dir, "logistic_regression", MODEL_PARAMS["logistic_regression"])
@@ -164,9 +231,10 @@ def m7_svm_rbf(spark, sf_dir):
     return _eval_model(spark, sf_dir, "svm", MODEL_PARAMS["svm"])
 
 
-@register("M2_dispatch_knn")
+@register("M2_dispatch_knn", f"with {_knn_sql('select 0 as ri, n as lv from minority', 9, 5)} "
+          f"select tn, fp, fn, tp, {rates_sql()}, {costs_sql('cost_')} from cm where fold = -1")
 def m2_dispatch_knn(spark, sf_dir):
-    return _eval_model(spark, sf_dir, "knn", MODEL_PARAMS["knn"])
+    return _r(_eval_model(spark, sf_dir, "knn", MODEL_PARAMS["knn"]))
 
 
 @register("H3_study_logistic_regression")
@@ -193,35 +261,48 @@ def _sweep_counts(spark, sf_dir):
     return materialize(counts)  # 180 rows that the summaries read several times
 
 
-@register("H5_undersampling_sweep")
+@register("H5_undersampling_sweep", f"with {_sweep_sql()} select undersample_fraction, undersample_level, "
+          "round(columns(* exclude (undersample_fraction, undersample_level)), 6) from sw")
 def h5_undersampling_sweep(spark, sf_dir):
-    return H.sweep_summary(_sweep_counts(spark, sf_dir))
+    return _r(H.sweep_summary(_sweep_counts(spark, sf_dir)))
 
 
-@register("H6_sweep_series")
+@register("H6_sweep_series", f"with {_sweep_sql()} " + " union all ".join(
+    f"select undersample_fraction, '{m}' as series, round({v}, 6) as mean, round({d}, 6) as std from sw"
+    for m, v, d in [("cost_average", "cost_average", "cost_average_std"), *((m, f"{m}_cv", f"{m}_std") for m in (
+        "accuracy", "balanced_accuracy", "recall", "precision", "f1", "specificity"))]))
 def h6_sweep_series(spark, sf_dir):
-    return H.sweep_long(H.sweep_summary(_sweep_counts(spark, sf_dir)))
+    return _r(H.sweep_long(H.sweep_summary(_sweep_counts(spark, sf_dir))))
+
+
+SWEEP_METRICS = ("accuracy_cv", "balanced_accuracy_cv", "recall_cv", "precision_cv", "f1_cv")
 
 
-@register("H6_sweep_metric_maxima")
+# Rounded before the comparison on both sides, so that the last bits decide no tie.
+@register("H6_sweep_metric_maxima", f"with {_sweep_sql()} " + " union all ".join(
+    f"select '{m}' as metric, (select undersample_fraction from sw order by round({m}, 6) desc, undersample_fraction limit 1) "
+    f"as best_setting, max(round({m}, 6)) as value from sw" for m in SWEEP_METRICS))
 def h6_sweep_metric_maxima(spark, sf_dir):
-    s = H.sweep_summary(_sweep_counts(spark, sf_dir))
-    return M.best_per_metric(s, "undersample_fraction",
-                             ["accuracy_cv", "balanced_accuracy_cv", "recall_cv", "precision_cv", "f1_cv"])
+    return M.best_per_metric(_r(H.sweep_summary(_sweep_counts(spark, sf_dir))), "undersample_fraction", SWEEP_METRICS)
 
 
-@register("T3_sweep_best_ratio")
+@register("T3_sweep_best_ratio", f"with {_sweep_sql()} select (select undersample_fraction from sw order by "
+          "round(cost_average, 6), undersample_fraction limit 1) as undersample_fraction, "
+          "min(round(cost_average, 6)) as cost_average from sw")
 def t3_sweep_best_ratio(spark, sf_dir):
-    return M.best_setting(H.sweep_summary(_sweep_counts(spark, sf_dir)), "undersample_fraction", "cost_average")
+    return M.best_setting(_r(H.sweep_summary(_sweep_counts(spark, sf_dir))), "undersample_fraction", "cost_average")
 
 
-@register("H6_sweep_confusion_matrices")
+@register("H6_sweep_confusion_matrices", f"with {_sweep_sql()} select round(frac, 6) as undersample_fraction, lv as undersample_level, "
+          "tn, fp, fn, tp, " + ", ".join(f"round({c}::double / nullif({n}, 0), 6) as {c}_share" for c, n in (
+              ("tn", "tn + fp"), ("fp", "tn + fp"), ("fn", "fn + tp"), ("tp", "fn + tp")))
+          + f" from cm join grid using (ri) where fold = -1 and ri in ({', '.join(map(str, H.spaced_indices(30, 6)))})")
 def h6_sweep_confusion_matrices(spark, sf_dir):
     counts = _sweep_counts(spark, sf_dir).where(F.col("fold") == -1)
     ratios = sorted(r[0] for r in counts.select("undersample_fraction").collect())
     picks = [ratios[i] for i in H.spaced_indices(len(ratios), 6)]
     n0, n1 = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
     share = {"tn": n0, "fp": n0, "fn": n1, "tp": n1}  # normalised by true class
-    return counts.where(F.col("undersample_fraction").isin(picks)).select(
+    return _r(counts.where(F.col("undersample_fraction").isin(picks)).select(
         "undersample_fraction", "undersample_level", "tn", "fp", "fn", "tp",
-        *[safe_div(F.col(c), n).alias(f"{c}_share") for c, n in share.items()])
+        *[safe_div(F.col(c), n).alias(f"{c}_share") for c, n in share.items()]))
