@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqlab.functions.exprs import safe_div
 from seqlab.operators import sections as S
 from seqlab.plans.catalog import register
+from seqlab.session import materialize
 from seqlab.sources.readers import RECORDS_SQL, read_table, records
 
 SECTIONS_CTE = f"""
@@ -24,6 +25,11 @@ def sectioned(spark, sf_dir):
     return S.add_sections(records(spark, sf_dir), "label", "pos", "id")
 
 
+def _sizes_once(spark, sf_dir):
+    """The size table, one narrow row per section, computed once: the report and the rank read it several times."""
+    return materialize(S.section_sizes(sectioned(spark, sf_dir)))
+
+
 @register("W1_sections", f"with {SECTIONS_CTE} select id, pos, label, section from sec")
 def w1_sections(spark, sf_dir):
     return sectioned(spark, sf_dir).select("id", "pos", "label", "section")
@@ -61,7 +67,7 @@ from sizes"""
 
 @register("A5_section_report", A5_SQL)
 def a5_section_report(spark, sf_dir):
-    return S.section_report(S.section_sizes(sectioned(spark, sf_dir)))
+    return S.section_report(_sizes_once(spark, sf_dir))
 
 
 W5_SQL = f"""with {SECTIONS_CTE}
@@ -84,7 +90,7 @@ from rep where cum >= 0.75 * total"""
 
 @register("W6_first_section_75pct", W6_SQL)
 def w6_first_section(spark, sf_dir):
-    rep = S.section_report(S.section_sizes(sectioned(spark, sf_dir)))
+    rep = materialize(S.section_report(_sizes_once(spark, sf_dir)))
     return S.first_section_reaching(rep, 0.75)
 
 
@@ -94,7 +100,7 @@ select section, n_samples, row_number() over (order by n_samples desc, section)
 
 @register("W8_section_size_rank", W8_SQL)
 def w8_section_size_rank(spark, sf_dir):
-    return S.size_rank(S.section_sizes(sectioned(spark, sf_dir)))
+    return S.size_rank(_sizes_once(spark, sf_dir))
 
 
 @register("A26_n_sections", f"with {SECTIONS_CTE} select count(distinct section) as n_sections "

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from seqlab.operators.sampling import section_ranges
-from seqlab.session import materialize
+from seqlab.operators.sampling import section_ranges, stratified_split
+from seqlab.session import checkpoint_dir, materialize
 from seqlab.functions.exprs import class_name, prob_to_label, torque_ratio
 from seqlab.operators import clean as C
 from seqlab.operators.bins import grid_cells, rebase_axis
@@ -13,7 +15,10 @@ from seqlab.operators.intervals import label_by_intervals, split_by_membership
 from seqlab.plans.catalog import register
 from seqlab.plans.pipeline import CleanConfig, clean
 from seqlab.plans.q_order import SECTIONS_CTE, sectioned
-from seqlab.sources.readers import RECORDS_SQL, concat_sources, intervals, intervals_sql, read_table, records
+from seqlab.plans.q_sampling import D1_SQL as SPLIT_SQL
+from seqlab.sources.readers import (RECORDS_SQL, concat_sources, intervals, intervals_sql, load_features, read_csv, read_table,
+                                    records)
+from seqlab.sources.writers import write_dataset
 
 J1_SQL = f"""with rec as ({RECORDS_SQL}), iv as ({intervals_sql()})
 select r.id, r.pos,
@@ -86,11 +91,15 @@ def a6_grid_bins_60(spark, sf_dir):
     return _a6(spark, sf_dir, 60.0)
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def _split_sources(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    kind = F.when(F.col("event_type").isin(*EVENT_TYPES), F.col("event_type")).otherwise("other")
     parts = []
-    for t in ("click", "error", "purchase", "signup", "view"):
-        part = ev.where(F.col("event_type") == t)
+    for t in (*EVENT_TYPES, "other"):
+        part = ev.where(kind == t)
         if t == "click":
             part = part.drop("props")
         elif t == "view":
@@ -100,8 +109,8 @@ def _split_sources(spark, sf_dir):
 
 
 U1_SQL = """select event_id, user_id, event_type, case when event_type = 'view' then null else value end as value,
-       case when event_type = 'click' then null else props end as props, event_type as source
-from events where event_type in ('click', 'error', 'purchase', 'signup', 'view')"""
+       case when event_type = 'click' then null else props end as props, case when event_type in
+       ('click', 'error', 'purchase', 'signup', 'view') then event_type else 'other' end as source from events"""
 
 
 @register("U1_union_sources", U1_SQL)
@@ -109,10 +118,8 @@ def u1_union_sources(spark, sf_dir):
     return _split_sources(spark, sf_dir)
 
 
-@register("S2_concat_sources_count", "select event_type as source, count(*) as n, "
-          "count(case when event_type <> 'view' then value end) as n_value, "
-          "count(case when event_type <> 'click' then props end) as n_props from events where event_type in ('click', 'error', 'purchase', 'signup', 'view') "
-          "group by event_type")
+@register("S2_concat_sources_count", f"with u as ({U1_SQL}) select source, count(*) as n, count(value) as n_value, "
+          "count(props) as n_props from u group by source")
 def s2_concat_sources_count(spark, sf_dir):
     u = _split_sources(spark, sf_dir)
     return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"),
@@ -258,3 +265,62 @@ def p15_stage_row_counts(spark, sf_dir):
     out = clean(r, _clean_cfg(), counter=counter)
     out.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(counter.rows(), "stage int, name string, rows_in bigint, rows_out bigint")
+
+
+# --- readers over CSV files that Spark writes from the given tables, in the shared checkpoint folder ---
+
+ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "priority_length"]
+
+
+def _as_csv(df, name: str):
+    """The path of ``df`` written as CSV with a header."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write_dataset(df, path, "csv")
+    return path
+
+
+def _orders_csv(spark, sf_dir, blank_headers=False):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.length("o_orderpriority").alias("priority_length"))
+    o = o.toDF(*[f" {c} " if blank_headers else c for c in o.columns])
+    return read_csv(spark, _as_csv(o, "orders-csv"), o.schema)
+
+
+CSV_SQL = "select o_orderkey, o_orderstatus, o_totalprice, cast(length(o_orderpriority) as integer) as priority_length from orders"
+
+
+@register("S1_read_csv", CSV_SQL)
+def s1_read_csv(spark, sf_dir):
+    return _orders_csv(spark, sf_dir)
+
+
+@register("S3_read_intervals", f"select interval_id, round(iv_start, 6) as iv_start, round(iv_end, 6) as iv_end from ({intervals_sql()}) t")
+def s3_read_intervals(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    back = read_csv(spark, _as_csv(iv, "intervals-csv"), iv.schema)
+    return back.select("interval_id", F.round("iv_start", 6).alias("iv_start"), F.round("iv_end", 6).alias("iv_end"))
+
+
+@register("S4_load_features", "select o_orderkey, o_totalprice, cast(length(o_orderpriority) as integer) as priority_length, o_orderstatus from orders")
+def s4_load_features(spark, sf_dir):
+    return load_features(_orders_csv(spark, sf_dir, blank_headers=True), ["o_totalprice", "priority_length"], "o_orderstatus", ["o_orderkey"])
+
+
+@register("S5_load_pair", f"""with a as ({SPLIT_SQL}) select a.side, a.o_orderkey, o.o_totalprice, a.o_orderstatus
+from a join orders o using (o_orderkey)""")
+def s5_load_pair(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(*ORDER_COLUMNS[:3])
+    split = materialize(stratified_split(o, "o_orderkey", "o_orderstatus", 0.33, 42))
+    sides = []
+    for side in ("train", "test"):
+        part = split.where(F.col("side") == side).drop("side")
+        back = read_csv(spark, _as_csv(part, f"{side}-csv"), part.schema)
+        sides.append((side, load_features(back, ["o_totalprice"], "o_orderstatus", ["o_orderkey"])))
+    return concat_sources(sides, "side")
+
+
+@register("P12_class_subsets", f"""with {SECTIONS_CTE}
+select id, section, label = 1 as in_class, section > 0 as in_section from sec where label <> 1 or section > 0""")
+def p12_class_subsets(spark, sf_dir):
+    s = sectioned(spark, sf_dir).select("id", "label", "section")
+    flags = ["id", "section", (F.col("label") == 1).alias("in_class"), (F.col("section") > 0).alias("in_section")]
+    return s.where((F.col("label") != 1) | (F.col("section") > 0)).select(*flags)

@@ -1,5 +1,6 @@
 """Physical-plan checks: pruning, pushdown, and no single-partition work on data."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -34,3 +35,10 @@ def test_ordered_scan_single_partition_only_over_block_summary(spark):
 def test_hash_rank_has_no_single_partition_exchange(spark):
     df = spark.range(10_000).select(F.col("id"), (F.col("id") % 3).alias("y"))
     assert "SinglePartition" not in _plan(hash_rank(df, "id", 42, by=["y"]))
+
+
+@pytest.mark.parametrize("name,most", [("A8_confusion_normalised", 1), ("A13_class_report", 1), ("A5_section_report", 3), ("W6_first_section_75pct", 3),
+                                       ("W8_section_size_rank", 3), ("D2_group_split", 3), ("D3_section_range_split", 3),
+                                       ("D5_stratified_group_kfold", 3), ("D10_split_summary", 3)])
+def test_number_of_table_scans(spark, name, most):
+    assert _plan(E.queries()[name](spark, SF)).count("Scan parquet") <= most
