@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqlab.operators.iforest import iforest_probability
@@ -58,14 +59,18 @@ def _learnable(spark, n=400):
                                  "id long, a double, b double, c double, d double, y int")
 
 
-def test_logistic_regression_beats_majority(spark):
+@pytest.mark.parametrize("model,params", [("logistic_regression", {"C": 1.0}), ("random_forest", {"n_estimators": 20, "max_depth": 5}),
+                                          ("xgboost", {"n_estimators": 10, "max_depth": 3}), ("svm", {"kernel": "rbf"}),
+                                          ("knn", {"n_neighbors": 5})])
+def test_model_beats_majority(spark, model, params):
     df = _learnable(spark)
     s = stratified_split(df, "id", "y", 0.33)
     tr, te = s.where(F.col("side") == "train"), s.where(F.col("side") == "test")
     feats = ["a", "b", "c", "d"]
-    lr = M.evaluate(train_predict(tr, te, TrainConfig("logistic_regression", {"C": 1.0}, feats, "y", "id"))).first()
+    got = M.evaluate(train_predict(tr, te, TrainConfig(model, params, feats, "y", "id"))).first()
     base = M.evaluate(train_predict(tr, te, TrainConfig("dummy", {}, feats, "y", "id"))).first()
-    assert lr.balanced_accuracy > 0.85 > base.balanced_accuracy
+    assert got.balanced_accuracy > 0.75 > base.balanced_accuracy
+    assert model != "logistic_regression" or got.balanced_accuracy > 0.85
 
 
 def test_knn_sweep_plan_equals_fit_loop(spark):
