@@ -5,9 +5,11 @@ Every run of ``run`` consecutive sentences with at least ``min_words`` words is
 sentence that lies in any occurrence of a repeated run but the first one (by
 doc_id, text hash, position; rows without doc_id last) is removed.
 
-A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line end.  One of
-more than ``long_words`` words is cut after words picked by their own hash, so
-a passage without full stops is found too, wherever it starts.
+A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line end, and has
+``SHORT_WORDS`` words at least (a shorter one goes with the next).  One of more than
+``long_words`` words is cut after the word of the least hash in each window of so many, so
+that no unit is longer and cuts depend on nearby words alone: a passage of more than 50 words
+holds whole runs wherever it starts, with or without full stops.
 
 Cases: a null or empty text has no sentences and stays as it is; rows that
 repeat doc_id and text are one document and get one result; repeats inside one
@@ -23,32 +25,51 @@ from pyspark.sql import functions as F
 
 from seqlab.llm.common import saved
 
-RUN, MIN_WORDS, LONG_WORDS = 3, 12, 24
+RUN, MIN_WORDS, LONG_WORDS, SHORT_WORDS = 3, 12, 9, 4
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 
 
+def _window_cuts(hashes: list[int], window: int) -> list[int]:
+    """The place of the least hash (the last of equals) in every window of so many."""
+    from collections import deque
+
+    queue, out = deque(), []
+    for i, h in enumerate(hashes):
+        while queue and hashes[queue[-1]] >= h:
+            queue.pop()
+        queue.append(i)
+        if queue[0] <= i - window:
+            queue.popleft()
+        if i >= window - 1 and (not out or out[-1] != queue[0]):
+            out.append(queue[0])
+    return out
+
+
 def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of every sentence, in code points; the blanks after it belong to it."""
+    """(start, end, lower-cased words) of every unit, in code points; the blanks after it belong to it."""
     import xxhash
 
-    cuts, out, start = [m.end() for m in _END.finditer(text)], [], 0
-    for end in [*cuts, len(text)]:
-        words = text[start:end].split()
-        if len(words) <= long_words:
-            if words:
-                out.append((start, end, [w.lower() for w in words]))
-            start = end if words or not out else start
+    out, start, before, words = [], 0, 0, []
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        new = [w.lower() for w in text[before:end].split()]
+        words += new
+        before = end
+        if not words or len(new) < SHORT_WORDS and end < len(text):
             continue
-        part, at = [], start
-        for m in _WORD.finditer(text, start, end):
-            part.append(m[0].lower())
-            if xxhash.xxh32_intdigest(part[-1]) % 8 == 0 and m.end() < end:
-                out.append((at, m.end(), part))
-                part, at = [], m.end()
-        if part:
-            out.append((at, end, part))
-        start = end
+        cuts = _window_cuts([xxhash.xxh32_intdigest(w) for w in words], long_words) if len(words) > long_words else []
+        if cuts:
+            ends, at = [m.end() for m in _WORD.finditer(text, start, end)], 0
+            for i in cuts:
+                if i + 1 < len(words):
+                    out.append((start, ends[i], words[at:i + 1]))
+                    start, at = ends[i], i + 1
+            words = words[at:]
+        out.append((start, end, words))
+        start, words = end, []
+    if words or start < len(text) and out:  # blanks at the end
+        a, _, last = out.pop()
+        out.append((a, len(text), last + words))
     return out
 
 

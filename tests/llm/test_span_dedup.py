@@ -67,3 +67,33 @@ def test_planted_passages(spark):
             cut = sum(len(texts[i][int(a):int(b)].split()) for a, b in (x.split(":") for x in r.spans.split(",")))
             assert cut >= 0.6 * len(passages[i % 15].split()) and passages[i % 15] not in r.text
     assert all(got[100 + i].n_removed == 0 for i in range(40))
+
+
+def test_passages_of_51_words_share_a_run_wherever_they_start(small):
+    """A passage put at any blank of two texts, with sentences of any length or none, has a span hash in common."""
+    texts = [r.text for r in small.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 100]
+    for lengths in ((999, 999), (15, 24), (8, 14), (4, 8), (1, 3)):
+        found = 0
+        for seed in range(120):
+            rnd = random.Random(seed)
+            word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+            words, left = [], rnd.randint(*lengths)
+            for _ in range(rnd.randint(51, 70)):
+                left -= 1
+                words.append(word() + "." * (left == 0))
+                left = left or rnd.randint(*lengths)
+            runs = []
+            for _ in range(2):
+                around = rnd.choice(texts).split(" ")
+                at = rnd.randrange(1, len(around))
+                units = S.sentences(" ".join(around[:at] + words + around[at:]))
+                runs.append({x[:2] for x in S.span_hashes(units)})
+            found += bool(runs[0] & runs[1])
+        assert found >= 119, (lengths, found)
+
+
+def test_units_are_short():
+    rnd = random.Random(9)
+    text = " ".join(rnd.choice(["a", "bc", "def.", "g", "hij", "k\n"]) for _ in range(5000)) + " " + "same " * 100 + "\n \n"
+    units = S.sentences(text)
+    assert max(len(w) for _, _, w in units) <= S.LONG_WORDS and units[0][0] == 0 and units[-1][1] == len(text)
