@@ -84,7 +84,7 @@ def text_windows(data: bytes | None, sizes: list[int], cache: dict, kept=None, p
             out.extend((int(f), n, count - len(tail) + skip + i, b" ".join(words[skip + i:skip + i + n]))
                        for f, i in zip(fp[at].view(np.int64), at.tolist()))
         count += len(fresh)
-        tail = words[len(words) - longest + 1:] if longest > 1 else []
+        tail = words[max(0, len(words) - longest + 1):] if longest > 1 else []
     return count, out
 
 

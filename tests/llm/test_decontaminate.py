@@ -47,3 +47,12 @@ def test_equal_windows_have_equal_fingerprints_and_are_few():
     for f, _, _, w in a:
         assert by.setdefault(w, f) == f
     assert len(set(by.values())) < 0.4 * len(by)
+
+
+def test_short_pieces_keep_all_their_words():
+    """Pieces of fewer words than the longest window lose none at their ends."""
+    text = b" ".join(b"w%d" % i for i in range(200))
+    whole = D.text_windows(text, [3, 13], D._Hashes())
+    for piece in range(4, 80):
+        got = D.text_windows(text, [3, 13], D._Hashes(), piece=piece)
+        assert got[0] == whole[0] and sorted(got[1]) == sorted(whole[1]), piece
