@@ -7,7 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.session import checkpoint_dir, ship_package
@@ -216,3 +216,34 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = saved(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place (from 0) among those of its ``group`` (not null) in ``order``.
+
+    The rows are dealt by ranges of (group, order), so that a group of any size spreads over
+    the tasks, and written once; a table of the first row and the number of rows of each group in each task
+    (a row per group and a few per task) then gives the offsets.
+    """
+    spark = df.sparkSession
+    at, part, first, n, off, g, p = fresh(df, "at_", "part_", "first_", "n_", "off_", "group_", "task_")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(tasks, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    rows = saved(rows.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn(part, F.shiftright(at, 33))  # the id holds the task above its 33 bits of row number
+    runs = rows.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.min(at).alias(first), F.count("*").alias(n))
+    before = Window.partitionBy(g).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(off, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
+    found = rows.join(runs, (F.col(group) == F.col(g)) & (F.col(part) == F.col(p)))
+    return found.select(*df.columns, (F.col(at) + F.col(off)).alias(name))

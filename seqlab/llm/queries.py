@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqlab.llm import decontaminate, license_scan, line_dedup, mixing, quality_ordinal, quality_rules, secret_scan, sharding, simhash, span_dedup
+from seqlab.llm import decontaminate, license_scan, line_dedup, merkle, mixing, quality_ordinal, quality_rules, repair, scaled_sketch, secret_scan, sharding, simhash, span_dedup
 from seqlab.llm.common import load
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_sharding": lambda s, d: sharding.op8_sharding(load(s, d, "documents")),
     "op9_mixing": lambda s, d: mixing.op9_mixing(load(s, d, "documents")),
     "op10_licence_scan": lambda s, d: license_scan.op10_licence_scan(load(s, d, "documents")),
+    "op11_document_fingerprints": lambda s, d: scaled_sketch.op11_document_fingerprints(load(s, d, "documents")),
+    "op12_conversation_repair": lambda s, d: repair.op12_conversation_repair(load(s, d, "conversations")),
+    "op13_merkle_manifest": lambda s, d: merkle.op13_merkle_manifest(load(s, d, "documents")),
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -63,5 +66,64 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source"""
 
 
+def _op11() -> str:
+    from seqlab.llm.scaled_sketch import DIGITS, SCALE, SHINGLE, bound
+
+    def sketch(text: str) -> str:
+        words = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
+        return f"""select doc_id, case when len(low) > 0 then list_sort(list_distinct(low)) when len(h) > 0 then [list_min(h)] else [] end as s
+  from (select doc_id, h, list_filter(h, lambda x: x < '{bound(SCALE)}') as low from (select doc_id, list_transform(
+    case when len(w) = 0 then [] when len(w) < {SHINGLE} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) end,
+    lambda x: left(md5(x), {DIGITS})) as h from (select doc_id, {words} as w from e)))"""
+
+    near = lambda a, b: (f"case when len({a}) = 0 and len({b}) = 0 then 1::double when len({a}) = 0 then 0::double "
+                         f"else len(list_intersect({a}, {b}))::double / len({a}) end")
+    return f"""with t as (select doc_id, coalesce(text, '') as text, lead(doc_id) over (order by doc_id) as nx, lead(coalesce(text, ''))
+  over (order by doc_id) as nt, first_value(doc_id) over (order by doc_id) as f, first_value(coalesce(text, '')) over (order by doc_id) as ft
+  from documents),
+e as (select doc_id, text, coalesce(nx, f) as next_id, left(text, length(text) - length(text) // 2)
+  || left(case when nx is null then ft else nt end, length(text) // 2) as edited from t),
+a as ({sketch("text")}),
+b as ({sketch("edited")})
+select e.doc_id, length(text) as n_chars, sha256(edited) as edited_sha256, array_to_string(a.s, ',') as fingerprint,
+  array_to_string(b.s, ',') as edited_fingerprint, {near("a.s", "b.s")} as near_edited, {near("a.s", "n.s")} as near_next
+from e join a using (doc_id) join b using (doc_id) join a n on n.doc_id = e.next_id"""
+
+
+#: CRC-32 of an ASCII string x, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length({x}) + 1),
+  lambda i: ascii(substring({x}, i, 1))::bigint)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+  lambda r, z: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end)))"""
+
+
+def _op13() -> str:
+    def leaf(more: str) -> str:
+        values = ["doc_id::varchar", "source", "lang", f"(n_chars::hugeint{more})::varchar", "text"]
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({v})::varchar || ':' || {v}, '-')" for v in values) + "))"
+
+    grow = """select tree, level + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (any_value(n) + 1) // 2
+  from {t} where n > 1 group by tree, level, idx // 2"""
+    # Node idx >> level is a leaf's ancestor; its run's other node, if any, is the sibling.
+    fold = """list_reduce(list_prepend({x}, coalesce(p, [])), lambda h, s: sha256(case when s = '-' then h when s[1] = 'L' then s[2:] || h else h || s[2:] end))"""
+    return f"""with recursive lv as (select doc_id, coalesce('=' || lang, '') as tree, {leaf("")} as leaf, {leaf(" + 1")} as more,
+  {_CRC32.format(x="doc_id::varchar")} % 7 = 0 as hit from documents),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx from lv),
+low as (select tree, 0 as level, idx, leaf as h, count(*) over (partition by tree) as n from leaves union all {grow.format(t="low")}),
+subs as (select tree, h as subroot, row_number() over (order by tree) - 1 as idx from low where n = 1),
+high as (select '' as tree, 0 as level, idx, subroot as h, count(*) over () as n from subs union all {grow.format(t="high")}),
+steps as (select l.doc_id, l.tree, l.idx, 0 as part, a.level, case when s.h is null then '-' when s.idx < a.idx then 'L' || s.h else 'R' || s.h end as step
+  from leaves l join low a on a.tree = l.tree and a.n > 1 and a.idx = l.idx >> a.level
+  left join low s on s.tree = a.tree and s.level = a.level and s.idx = xor(a.idx, 1)
+  union all select l.doc_id, l.tree, l.idx, 1, a.level, case when s.h is null then '-' when s.idx < a.idx then 'L' || s.h else 'R' || s.h end
+  from leaves l join subs u using (tree) join high a on a.n > 1 and a.idx = u.idx >> a.level
+  left join high s on s.level = a.level and s.idx = xor(a.idx, 1)),
+ways as (select tree, idx, list(step order by part, level) as p from steps group by tree, idx),
+folded as (select l.doc_id, leaf, subroot, (select h from high where n = 1) as root, p,
+  {fold.format(x="case when hit then more else leaf end")} as folded_root from leaves l join subs using (tree) left join ways w on w.tree = l.tree and w.idx = l.idx)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(p, []), lambda s: s[2:]), '')) as proof_sha256, folded_root,
+  folded_root = root as verified from folded"""
+
+
 #: SQL cannot express the others (XXH64, seeded draws, trained models); tests/llm holds them against plain Python.
-ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_quality_rules": _op6()}
+ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_quality_rules": _op6(), "op11_document_fingerprints": _op11(), "op13_merkle_manifest": _op13()}
