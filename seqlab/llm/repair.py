@@ -197,8 +197,6 @@ def audits(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("fault", F.when(again, DUPLICATE).otherwise(F.col("fault")))
 
     def audit(batches):
-        import pyarrow as pa
-
         for conv, group in _groups(batches):
             initials, faults, illegal, gaps, low, before, role_before = [], bytearray(), 0, 0, None, None, None
             for _, turn, role, _, _, fault in group:
@@ -211,11 +209,11 @@ def audits(rows: DataFrame) -> DataFrame:
                 before, role_before = (turn if turn is not None else before), role
             cost, text = cheapest("".join(initials), faults)
             counts = [faults.count(x) for x in (BLANK, DUPLICATE, TRUNCATED)]
-            row = dict(zip([c.split()[0] for c in _AUDIT.split(", ")], [conv, gaps, *counts, illegal, cost, text]))
-            yield pa.RecordBatch.from_pylist([row], schema=schema)
+            yield conv, gaps, *counts, illegal, cost, text
 
     schema = _arrow(_AUDIT)
-    return _sorted(rows).select("conv_id", "turn", "role", "h1", "h2", "fault").mapInArrow(audit, _AUDIT)
+    narrow = _sorted(rows).select("conv_id", "turn", "role", "h1", "h2", "fault")
+    return narrow.mapInArrow(lambda batches: _batches(audit(batches), schema), _AUDIT)
 
 
 def _arrow(ddl: str):
@@ -224,6 +222,15 @@ def _arrow(ddl: str):
     return pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.string()) for c in ddl.split(", ")])
 
 
+def _batches(rows: Iterator[tuple], schema) -> Iterator:
+    import itertools
+
+    import pyarrow as pa
+
+    while some := list(itertools.islice(rows, 1000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+
+
 def repaired(audit: str, rows: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str]]:
     """The (role, text) rows that the edits of ``audit`` make of ``rows``."""
     state = 0
@@ -264,22 +271,20 @@ def _repair_stream(rows: DataFrame, found: DataFrame, convs: DataFrame, emit, sc
             row = next(group, None)
             known = [0] * (len(facts) - 1) + [""] if row is None else list(row[4:])
             texts = ((r[2], r[3]) for r in itertools.chain([] if row is None or row[1] == 1 else [row], group))
-            yield from emit(dict(zip(["conv_id", *facts], [conv, *known])), repaired(known[-1], texts))
+            yield from emit((conv, *known), repaired(known[-1], texts))
 
-    return stream.mapInArrow(read, schema)
+    out = _arrow(schema)
+    return stream.mapInArrow(lambda batches: _batches(read(batches), out), schema)
 
 
 def repaired_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, turn (from 0), role, text of every conversation after its cheapest repair."""
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     schema = "conv_id long, turn long, role string, text string"
-    out = _arrow(schema)
 
     def emit(facts, texts):
-        import pyarrow as pa
-
         for i, (role, text) in enumerate(texts):
-            yield pa.RecordBatch.from_pylist([{"conv_id": facts["conv_id"], "turn": i, "role": role, "text": text}], schema=out)
+            yield facts[0], i, role, text
 
     return _repair_stream(rows, audits(rows), rows.select("conv_id").distinct(), emit, schema)
 
@@ -288,14 +293,11 @@ def op12_conversation_repair(conversations: DataFrame) -> DataFrame:
     convs = conversations.select("conv_id", "turn", "role", "text")
     rows = damaged(convs)
     schema = f"{_AUDIT}, repaired_sha256 string"
-    out = _arrow(schema)
 
     def emit(facts, texts):
-        import pyarrow as pa
-
         h = hashlib.sha256()
         for i, (role, text) in enumerate(texts):
             h.update((("\n" if i else "") + role + ":" + text).encode())
-        yield pa.RecordBatch.from_pylist([facts | {"repaired_sha256": h.hexdigest()}], schema=out)
+        yield *facts, h.hexdigest()
 
     return _repair_stream(rows, audits(rows), convs.select("conv_id").distinct(), emit, schema)
