@@ -74,7 +74,7 @@ from seqlab.operators.clean import outlier_share  # noqa: E402
 from seqlab.operators.iforest import iforest_probability, remove_outliers_iforest  # noqa: E402
 from seqlab.operators import metrics as M  # noqa: E402
 from seqlab.operators.smote import smote  # noqa: E402
-from seqlab.plans.models import TrainConfig, train_predict  # noqa: E402
+from seqlab.plans.models import BOOSTED, TrainConfig, train_predict  # noqa: E402
 from seqlab.plans.q_metrics import costs_sql, rates_sql  # noqa: E402
 from seqlab.plans import search as H  # noqa: E402
 
@@ -237,19 +237,87 @@ def m2_dispatch_knn(spark, sf_dir):
     return _r(_eval_model(spark, sf_dir, "knn", MODEL_PARAMS["knn"]))
 
 
+# --- studies at full size: 100 trials x 5 folds (H1, H3, H4) -------------------------------------------------
+
+N_TRIALS, N_FOLDS = 100, 5
+
+
+def _draws_sql(models, trials: str) -> str:
+    """(model, trial, param, value, choice) of every parameter of the models' spaces for the trials of a query giving (trial)."""
+    space = ", ".join(f"('{m}', '{p.name}', '{p.kind}', {p.lo!r}::double, {p.hi!r}::double, [{', '.join(repr(str(c)) for c in p.choices)}]::varchar[])"
+                      for m in models for p in H.SPACES[m])
+    return f"""select model, trial, param, round(case kind when 'int' then floor(lo + floor(u * (hi - lo + 1))) when 'float' then lo + u * (hi - lo)
+  when 'logfloat' then exp(ln(lo) + u * (ln(hi) - ln(lo))) end, 6) as value,
+  case when kind = 'cat' then choices[least(floor(u * len(choices)), len(choices) - 1)::integer + 1] end as choice
+from (select *, ('0x' || substr(md5('{SEED}:' || model || ':' || trial || ':' || param), 1, 13))::bigint / 4503599627370496::double as u
+  from (values {space}) as s(model, param, kind, lo, hi, choices), ({trials}))"""
+
+
+def _study_vectors(spark, sf_dir):
+    train, _ = _split_tables(spark, sf_dir)
+    return stratified_kfold(train, "vec_id", "y", N_FOLDS, SEED)
+
+
 @register("H3_study_logistic_regression")
 def h3_study(spark, sf_dir):
-    train, _ = _split_tables(spark, sf_dir)
-    folded = materialize(stratified_kfold(train, "vec_id", "y", 5, SEED))
-    return H.run_study(spark, folded, _base_cfg(), "logistic_regression", n_trials=5, k=5, seed=SEED)
+    return H.run_study(spark, _study_vectors(spark, sf_dir), _base_cfg(), "logistic_regression", N_TRIALS, N_FOLDS, SEED)
+
+
+def _knn_study_sql() -> str:
+    c = M.DEFAULT_COSTS
+    cost = " + ".join(f"{x}::double * {getattr(c, x) * c.time_per_regular_advance}::double" for x in ("tn", "fp", "fn", "tp"))
+    div = lambda a, b: f"coalesce(({a})::double / nullif(({b})::double, 0), 0)"
+    rec, spec, prec, n = div("tp", "tp + fn"), div("tn", "tn + fp"), div("tp", "tp + fp"), "(tn + fp + fn + tp)"
+    per = {"objective": div(cost, n), "accuracy_mean": div("tp + tn", n), "balanced_accuracy_mean": f"({rec} + {spec}) / 2.0::double",
+           "recall_mean": rec, "precision_mean": prec, "f1_mean": div(f"2.0::double * {prec} * {rec}", f"{prec} + {rec}")}
+    head = _knn_sql("select 0 as ri, n as lv from minority", 1, N_FOLDS).split("pairs as (")[0]
+    return f"""with {head}
+draws as ({_draws_sql(["knn"], f"select i::integer as trial from range({N_TRIALS}) as t(i)")}),
+points as (select trial, max(value) filter (where param = 'n_neighbors')::integer as n_neighbors,
+  max(choice) filter (where param = 'weights') as weights, max(value) filter (where param = 'p')::integer as p from draws group by trial),
+lv as (select fold, min(n) as lv from (select fold, y, count(*) as n from refs where fold >= 0 group by fold, y) group by fold),
+pairs as (select q.fold, q.vec_id as qid, q.y as yt, t.vec_id as tid, t.y, list_distance(q.v, t.v) as d2,
+  list_sum(list_transform(list_zip(q.v, t.v), lambda x: abs(x[1] - x[2]))) as d1
+  from scaled_q q join scaled_t t using (fold) join lv using (fold) where t.rk <= lv.lv),
+near as (select fold, qid, yt, tid, y, 2 as p, d2 as dist from pairs union all select fold, qid, yt, tid, y, 1, d1 from pairs),
+ranked as (select *, row_number() over (partition by p, fold, qid order by dist, tid) as rn from near),
+votes as (select trial, fold, qid, yt, sum(case when weights = 'uniform' then 1 when lowest = 0 then (dist = 0)::integer else 1 / dist end
+    * case when y = 1 then 1 else -1 end) > 0 as yp
+  from (select *, min(dist) over (partition by p, fold, qid) as lowest from ranked where rn <= 25) r join points on points.p = r.p and rn <= n_neighbors
+  group by trial, fold, qid, yt),
+cells as (select trial, fold, count(*) filter (where yt = 0 and not yp) as tn, count(*) filter (where yt = 0 and yp) as fp,
+  count(*) filter (where yt = 1 and not yp) as fn, count(*) filter (where yt = 1 and yp) as tp from votes group by trial, fold),
+per as (select trial, {", ".join(f"{v} as {k}" for k, v in per.items())} from cells)
+select trial, n_neighbors, weights, p, 'COMPLETE' as state, round(stddev_pop(objective), 6) as objective_std,
+  {", ".join(f"round(avg({k}), 6) as {k}" for k in per)} from per join points using (trial) group by all"""
+
+
+@register("H3_study_knn", _knn_study_sql())
+def h3_study_knn(spark, sf_dir):
+    study = H.run_study(spark, _study_vectors(spark, sf_dir), _base_cfg(), "knn", N_TRIALS, N_FOLDS, SEED)
+    point = [F.col("params")[c].cast(t).alias(c) for c, t in (("n_neighbors", "int"), ("weights", "string"), ("p", "int"))]
+    return _r(study.select("trial", *point, "state", *[c for c in study.columns if c.startswith("objective") or c.endswith("_mean")]))
+
+
+@register("H1_draw_table", _draws_sql(H.SPACES, "select vec_id as trial from embeddings"))
+def h1_draw_table(spark, sf_dir):
+    """One trial of every model per vector: its number is the vector's id."""
+    return H.draw_table(spark, read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial")), SEED)
+
+
+def _batch(spark, sf_dir, models):
+    train, test = _split_tables(spark, sf_dir)
+    return H.batch_optimize(spark, train, test, _base_cfg(), models, N_TRIALS, N_FOLDS, SEED)[1]
 
 
 @register("H4_batch_models")
 def h4_batch_models(spark, sf_dir):
-    train, test = _split_tables(spark, sf_dir)
-    _, comp = H.batch_optimize(spark, train, test, _base_cfg(), ["dummy", "logistic_regression", "knn"],
-                               n_trials=3, k=3, seed=SEED)
-    return comp
+    return _batch(spark, sf_dir, ["dummy", "logistic_regression", "knn", "svm", "random_forest"])
+
+
+@register("H4_batch_boosted")
+def h4_batch_boosted(spark, sf_dir):
+    return _batch(spark, sf_dir, list(BOOSTED))
 
 
 def _sweep_counts(spark, sf_dir):

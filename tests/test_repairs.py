@@ -32,7 +32,7 @@ def two_blobs(spark):
 def test_every_trial_of_a_study_completes(spark, two_blobs):
     cfg = TrainConfig(model="knn", features=["a", "b"], label="y", id_col="id")
     folded = D.stratified_kfold(two_blobs, "id", "y", 2, 42)
-    rows = H.run_study(spark, folded, cfg, "knn", n_trials=2, k=2, parallelism=2).collect()
+    rows = H.run_study(spark, folded, cfg, "knn", n_trials=2, k=2).collect()
     assert [r.state for r in rows] == ["COMPLETE"] * 2 and all(r.objective > 0 and r.error is None for r in rows)
 
 
