@@ -1,12 +1,18 @@
-"""Exact k nearest neighbours without a row-level cross join.
-
-Queries are hashed into ``B`` blocks and reference rows into ``C`` chunks of a
-bounded number of rows.  Each query row is replicated once per chunk and each
-reference row once per block, then ``cogroup`` hands one (block, chunk) pair to
-a pandas function that computes the distances with numpy and emits only the
-local top k per query.  A window over each query's ``C * k`` candidates keeps
-the global top k.  Memory per task is bounded by the block and chunk sizes and a
-tile of differences of fixed size; no task holds a whole side, and nothing is collected to the driver.
+"""Exact k nearest neighbours without a row-level cross join.
+
+*Small references* (one block): queries are hashed into blocks of ``block_rows`` and each block meets the
+references in one ``cogroup``.
+
+*Large references* are cut into Voronoi cells around pivots (the first rows by hash).  Every cell keeps the
+distances of its k references nearest to the pivot and its largest one, from which each query gets, by the triangle inequality, an upper bound
+on its k-th distance; it is sent only to cells that may hold a row within that bound (ring and, for
+the Euclidean metric, hyperplane bounds).  On clustered rows that is a few cells; where the bounds
+do not help, all of them, and the work is that of blocks.  A cell of more than ``block_rows`` rows is cut into chunks, its queries into blocks, so
+a hot cell (a third of all rows equal, say) spreads over tasks.
+
+Within a task the distances are numpy tiles of fixed size and only each query's local top k leaves; a
+window over those candidates keeps the global top k.  No task holds a whole side, and what the driver sees is the pivots and
+one summary row per cell.
 """
 
 from __future__ import annotations
@@ -16,43 +22,42 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.session import materialize
+
 BLOCK_ROWS = 20_000
 _QBATCH = 256
 TILE_BYTES = 32 << 20  # of differences held at once; the distances of a query batch take _QBATCH * block_rows * 8 more
 
 
 def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metric: str, exclude_self: bool,
-                by: Sequence[str] = ()):
+                by: Sequence[str] = (), limits: tuple[str, Sequence[int]] | None = None):
+    """The k best references of a chunk for each query of a block; with ``limits`` (column, values), those of every limit."""
     def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         cols = [*by, qid, tid, "dist", *extra]
         if q.empty or t.empty:
             return pd.DataFrame({c: [] for c in cols})
+        ends = [len(t)]
+        if limits:  # the rows within a limit come first
+            t = t.sort_values(limits[0], kind="stable")
+            ends = sorted(set(np.searchsorted(t[limits[0]].to_numpy(), limits[1], side="right")) - {0})
         qv = np.stack(q["_qvec"].to_numpy()).astype(np.float64)
         tv = np.stack(t["_tvec"].to_numpy()).astype(np.float64)
-        qids = q[qid].to_numpy()
-        tids = t[tid].to_numpy()
-        kk = min(k, len(t))
+        qids, tids = q[qid].to_numpy(), t[tid].to_numpy()
         out_q, out_t, out_d = [], [], []
         for s in range(0, len(q), _QBATCH):
-            qs = qv[s:s + _QBATCH]
-            d = np.empty((len(qs), len(tv)))
-            step = max(1, TILE_BYTES // (8 * max(1, qs.size)))
-            for a in range(0, len(tv), step):
-                diff = qs[:, None, :] - tv[None, a:a + step, :]
-                np.abs(diff, out=diff) if metric == "manhattan" else np.multiply(diff, diff, out=diff)
-                d[:, a:a + step] = diff.sum(-1)
-            if metric != "manhattan":
-                np.sqrt(d, out=d)
+            d = _distances(qv[s:s + _QBATCH], tv, metric)
             if exclude_self:
                 d[qids[s:s + _QBATCH, None] == tids[None, :]] = np.inf
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            kth = [np.partition(d[:, :n], min(k, n) - 1, axis=1)[:, min(k, n) - 1] for n in ends]
             for i in range(d.shape[0]):
-                cand = np.nonzero(d[i] <= kth[i])[0]
-                order = np.lexsort((tids[cand], d[i, cand]))[:kk]
-                sel = cand[order]
+                sel = []
+                for n, bound in zip(ends, kth):
+                    cand = np.nonzero(d[i, :n] <= bound[i])[0]
+                    sel.append(cand[np.lexsort((tids[cand], d[i, cand]))[:k]])
+                sel = sel[0] if len(sel) == 1 else np.unique(np.concatenate(sel)) if sel else np.zeros(0, int)
                 sel = sel[np.isfinite(d[i, sel])]
                 out_q.append(np.full(len(sel), qids[s + i]))
                 out_t.append(sel)
@@ -67,44 +72,162 @@ def _local_topk(k: int, qid: str, tid: str, vec: str, extra: Sequence[str], metr
     return fn
 
 
-def nearest_neighbours(queries: DataFrame, ref: DataFrame, k: int, qid: str, tid: str, vec: str,
-                       extra: Sequence[str] = (), metric: str = "euclidean", exclude_self: bool = False,
-                       block_rows: int = BLOCK_ROWS, by: Sequence[str] = ()) -> DataFrame:
-    """Top ``k`` reference rows per query row: (*by, qid, tid, dist, nn_rank, *extra).
+MAX_CELLS = 4_096  # of all groups together: their summaries (k + 1 numbers each) go to every task
 
-    Ties in distance go to the smaller reference id.  ``exclude_self`` drops the
-    pair ``qid == tid`` (neighbours within one table).  ``qid`` and ``tid`` must
-    be distinct column names.  ``by``: group columns present on both sides;
-    queries only meet references of their own group (many small kNN problems
-    in one plan, e.g. every fold x setting of a sweep).
-    """
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of ``a`` to those of ``b``, in tiles of TILE_BYTES."""
+    d = np.empty((len(a), len(b)))
+    step = max(1, TILE_BYTES // (8 * max(1, a.size)))
+    for s in range(0, len(b), step):
+        diff = a[:, None, :] - b[None, s:s + step, :]
+        np.abs(diff, out=diff) if metric == "manhattan" else np.multiply(diff, diff, out=diff)
+        d[:, s:s + step] = diff.sum(-1)
+    return d if metric == "manhattan" else np.sqrt(d)
+
+
+def _cells_of(pivots: np.ndarray, metric: str):
+    """(cell, distance to its pivot) columns for rows with ``_vec``."""
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["_vec"].to_numpy()).astype(np.float64)
+                parts = [_distances(v[i:i + _QBATCH], pivots, metric) for i in range(0, len(v), _QBATCH)]
+                d = np.concatenate(parts)
+                pdf["_cell"] = d.argmin(axis=1).astype(np.int32)
+                pdf["_radius"] = d.min(axis=1)
+                yield pdf
+    return assign
+
+
+def _reached(pivots: np.ndarray, between: np.ndarray, cells: dict, k: int, metric: str, by: Sequence[str]):
+    """``_cells``: the cells that may hold one of a query's k nearest references of its group."""
+    def reach(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            out = np.empty(len(pdf), object)
+            groups = pdf.groupby(list(by), dropna=False).indices if by else {(): np.arange(len(pdf))}
+            for key, at in groups.items():
+                key = key if isinstance(key, tuple) else (key,)
+                ids, far, near = cells.get(key, (np.zeros(0, int), np.zeros(0), np.zeros((0, k))))
+                v = np.stack(pdf["_qvec"].to_numpy()[at]).astype(np.float64)
+                for i in range(0, len(at), _QBATCH):
+                    part = at[i:i + _QBATCH]
+                    d = _distances(v[i:i + _QBATCH], pivots, metric)
+                    # k references lie within the k-th least of "distance to the pivot plus theirs to it".
+                    reach_of = (d[:, ids][:, :, None] + near[None]).reshape(len(part), -1)
+                    bound = np.partition(reach_of, k - 1, axis=1)[:, k - 1] if reach_of.shape[1] >= k else np.full(len(part), np.inf)
+                    bound = bound * (1 + 1e-9) + 1e-9  # rounding must not lose a tie
+                    keep = d[:, ids] - far[None] <= bound[:, None]
+                    if metric != "manhattan":
+                        own = d.argmin(axis=1)
+                        gap = between[own][:, ids]
+                        plane = (d[:, ids] ** 2 - d.min(axis=1)[:, None] ** 2) / np.where(gap > 0, 2 * gap, np.inf)
+                        keep &= plane <= bound[:, None]
+                    for j, row in zip(part, keep):
+                        out[j] = ids[row].astype(np.int32)
+            pdf["_cells"] = out
+            yield pdf
+    return reach
+
+
+def _pruned(queries: DataFrame, ref: DataFrame, k: int, metric: str, by: Sequence[str], n_pivots: int):
+    """(queries with ``_cell`` per cell they reach, references with their ``_cell``), or None where there are too many groups."""
     by = list(by)
-    if by:
+    n_groups = ref.select(*by).distinct().limit(MAX_CELLS // n_pivots + 1).count() if by else 1
+    if n_groups > MAX_CELLS // n_pivots:
+        return None
+    pivots = np.array([r[0] for r in ref.select("_vec").orderBy(F.xxhash64("_vec")).limit(n_pivots).collect()], np.float64)
+    between = _distances(pivots, pivots, metric)
+    fields = ", ".join(f"`{c}` {t}" for c, t in ref.dtypes)
+    ref = materialize(ref.mapInPandas(_cells_of(pivots, metric), f"{fields}, _cell int, _radius double"))
+    nearest = Window.partitionBy(*by, "_cell").orderBy("_radius")
+    # The k least radii by a window would sort whole cells: the k-th least per hash slice first.
+    some = ref.select(*by, "_cell", "_radius", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("_slice"))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_cell", "_slice").orderBy("_radius"))).where(F.col("_n") <= k)
+    least = some.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k)
+    least = least.groupBy(*by, "_cell").agg(F.array_sort(F.collect_list("_radius")).alias("near"))  # k numbers
+    far = ref.groupBy(*by, "_cell").agg(F.max("_radius").alias("far"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_cell"]]
+    summary: dict[tuple, list] = {}
+    for r in far.alias("a").join(least.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in [*by, "_cell"]], "far", "near").collect():
+        summary.setdefault(tuple(r[c] for c in by), []).append((r["_cell"], r["far"], r["near"] + [math.inf] * (k - len(r["near"]))))
+    cells = {g: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows])) for g, rows in summary.items()}
+    fields = ", ".join(f"`{c}` {t}" for c, t in queries.dtypes)
+    queries = materialize(queries.mapInPandas(_reached(pivots, between, cells, k, metric, by), f"{fields}, _cells array<int>"))
+    return queries.withColumn("_cell", F.explode("_cells")).drop("_cells"), ref.drop("_radius")
+
+
+def _blocked(queries: DataFrame, ref: DataFrame, qid: str, tid: str, local, extra: Sequence[str], by: Sequence[str], block_rows: int) -> DataFrame:
+    """``local`` over every block of queries and chunk of references of a group: (*by, qid, tid, dist, *extra)."""
+    by, qtypes, ttypes = list(by), dict(queries.dtypes), dict(ref.dtypes)
+    keys = [c for c in (*by, "_cell") if c in queries.columns]
+    if keys:
         # Blocks and chunks of each group's own size.  A group without references has no neighbours.
         def parts(d: DataFrame, name: str) -> DataFrame:
-            return d.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
-        sizes = parts(queries, "_nb").join(parts(ref, "_nc"), by)
-        queries, ref = queries.join(sizes, by), ref.join(sizes, by)
+            return d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+        sizes = parts(queries, "_nb").join(parts(ref, "_nc"), keys)
+        queries, ref = queries.join(sizes, keys), ref.join(sizes, keys)
         n_blocks, n_chunks = F.col("_nb"), F.col("_nc")
     else:
         n_blocks = F.lit(max(1, math.ceil(queries.count() / block_rows)))
         n_chunks = F.lit(max(1, math.ceil(ref.count() / block_rows)))
     # Fresh aliases on both sides: the two inputs often share lineage (one
     # table split in two), and cogroup needs distinct attributes.
-    q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).alias(qid), F.col(vec).alias("_qvec"),
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(qid).alias(qid), F.col("_qvec").alias("_qvec"),
                        F.pmod(F.xxhash64(qid), n_blocks).cast("int").alias("_qb"),
                        F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("_tc"))
-    t = ref.select(*[F.col(c).alias(c) for c in by], F.col(tid).alias(tid), F.col(vec).alias("_tvec"),
+    t = ref.select(*[F.col(c).alias(c) for c in keys], F.col(tid).alias(tid), F.col("_vec").alias("_tvec"),
                    *[F.col(c).alias(c) for c in extra],
                    F.pmod(F.xxhash64(tid), n_chunks).cast("int").alias("_tc"),
                    F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_qb"))
-    qtypes, ttypes = dict(queries.dtypes), dict(ref.select(tid, *extra).dtypes)
     schema = ", ".join([*[f"`{c}` {qtypes[c]}" for c in by], f"`{qid}` {qtypes[qid]}", f"`{tid}` {ttypes[tid]}",
                         "dist double", *[f"`{c}` {ttypes[c]}" for c in extra]])
-    local = q.groupBy(*by, "_qb", "_tc").cogroup(t.groupBy(*by, "_qb", "_tc")).applyInPandas(
-        _local_topk(k, qid, tid, vec, extra, metric, exclude_self, by), schema)
+    return q.groupBy(*keys, "_qb", "_tc").cogroup(t.groupBy(*keys, "_qb", "_tc")).applyInPandas(local, schema)
+
+
+def nearest_neighbours(queries: DataFrame, ref: DataFrame, k: int, qid: str, tid: str, vec: str,
+                       extra: Sequence[str] = (), metric: str = "euclidean", exclude_self: bool = False,
+                       block_rows: int = BLOCK_ROWS, by: Sequence[str] = (), pivots: int | None = None) -> DataFrame:
+    """Top ``k`` reference rows per query row: (*by, qid, tid, dist, nn_rank, *extra).
+
+    Ties in distance go to the smaller reference id.  ``exclude_self`` drops the
+    pair ``qid == tid`` (neighbours within one table).  ``qid`` and ``tid`` must
+    be distinct column names.  ``by``: group columns present on both sides;
+    queries only meet references of their own group (many small kNN problems
+    in one plan, e.g. every fold x setting of a sweep).  ``pivots``: number of cells; by default the square root of
+    the references' number (1,024 at most), and none where all of them fit into one block.
+    """
+    by = list(by)
+    queries = queries.select(*by, qid, F.col(vec).alias("_qvec"))
+    ref = ref.select(*by, tid, F.col(vec).alias("_vec"), *extra)
+    if pivots is None:
+        n = ref.count()
+        pivots = min(1024, math.ceil(math.sqrt(n))) if n > block_rows else 0
+    found = _pruned(queries, ref, k + exclude_self, metric, by, pivots) if pivots else None
+    queries, ref = found or (queries, ref)
+    local = _local_topk(k, qid, tid, vec, extra, metric, exclude_self, by)
+    found = _blocked(queries, ref, qid, tid, local, extra, by, block_rows)
     w = Window.partitionBy(*by, qid).orderBy(F.col("dist"), F.col(tid))
-    return local.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+    return found.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
+
+
+def staircase_neighbours(queries: DataFrame, ref: DataFrame, k: int, limits: Sequence[int], rank: str, qid: str, tid: str, vec: str,
+                         extra: Sequence[str] = (), metric: str = "euclidean", block_rows: int = BLOCK_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Per query row an array ``near`` (dist, tid, rank, *extra; ascending) that holds, for every limit, its ``k`` nearest references
+    whose ``rank`` is within that limit: the first k of ``near`` that pass ``rank <= limit``.
+
+    Nested samples of one table need one search: the distances are taken once, and only rows that are among the
+    k best of some limit leave a task (at most ``k * len(limits)`` per query and chunk).
+    """
+    by = list(by)
+    queries = queries.select(*by, qid, F.col(vec).alias("_qvec"))
+    ref = ref.where(F.col(rank) <= max(limits)).select(*by, tid, F.col(vec).alias("_vec"), rank, *extra)
+    kept = [rank, *extra]
+    found = _blocked(queries, ref, qid, tid, _local_topk(k, qid, tid, vec, kept, metric, False, by, (rank, sorted(set(limits)))), kept, by, block_rows)
+    row = F.struct("dist", tid, *kept)
+    return found.groupBy(*by, qid).agg(F.array_sort(F.collect_list(row)).alias("near"))
 
 
 def knn_predict(neigh: DataFrame, qid: str, label: str, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
@@ -119,3 +242,13 @@ def knn_predict(neigh: DataFrame, qid: str, label: str, weights: str = "uniform"
     votes = neigh.withColumn("_w", w).groupBy(*by, qid, label).agg(F.sum("_w").alias("_votes"))
     return votes.groupBy(*by, qid).agg(
         F.min_by(F.col(label), F.struct(-F.col("_votes"), F.col(label))).alias("y_pred"))
+
+
+def knn_vote(near: Column, label: str, weights: str = "uniform") -> Column:
+    """``knn_predict`` of one query's neighbours, an array of structs that holds ``dist`` and ``label``."""
+    zero = F.exists(near, lambda c: c["dist"] == 0)
+    weight = (lambda c: F.when(zero, (c["dist"] == 0).cast("double")).otherwise(F.lit(1.0) / c["dist"])) if weights == "distance" else (lambda c: F.lit(1.0))
+    labels = F.array_sort(F.array_distinct(F.transform(near, lambda c: c[label])))
+    total = lambda y: F.aggregate(F.filter(near, lambda c: c[label] == y), F.lit(0.0), lambda a, c: a + weight(c))
+    best = F.transform(labels, lambda y: F.struct((-total(y)).alias("votes"), y.alias("y")))  # ties: the smaller label
+    return F.array_min(best)["y"]

@@ -42,8 +42,8 @@ def split_embeddings(spark, sf_dir):
     return stratified_split(embeddings(spark, sf_dir), "vec_id", "y", 0.33, SEED)
 
 
-def _neighbours(spark, sf_dir, k=5):
-    s = split_embeddings(spark, sf_dir)
+def _neighbours(s, k=5):
+    """Neighbours of the test rows of a split table, which is read several times and therefore written once."""
     test = s.where(F.col("side") == "test").select(F.col("vec_id").alias("qid"), "embedding")
     train = s.where(F.col("side") == "train").select(F.col("vec_id").alias("tid"), "embedding", "y")
     return nearest_neighbours(test, train, k, "qid", "tid", "embedding", extra=["y"])
@@ -52,7 +52,7 @@ def _neighbours(spark, sf_dir, k=5):
 @register("J3_nearest_neighbours", f"with {EMB_SPLIT_SQL} select qid, tid, round(dist, 6) as dist, nn_rank "
           "from nn where nn_rank <= 5")
 def j3_nearest_neighbours(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("qid", "tid", F.round("dist", 6).alias("dist"), "nn_rank")
+    return _neighbours(materialize(split_embeddings(spark, sf_dir))).select("qid", "tid", F.round("dist", 6).alias("dist"), "nn_rank")
 
 
 M8_SQL = f"""with {EMB_SPLIT_SQL},
@@ -63,8 +63,9 @@ select s.vec_id, s.y as y_true, w.ty as y_pred from s join w on s.vec_id = w.qid
 
 @register("M8_knn_predict", M8_SQL)
 def m8_knn_predict(spark, sf_dir):
-    pred = knn_predict(_neighbours(spark, sf_dir), "qid", "y", "uniform")
-    truth = split_embeddings(spark, sf_dir).where(F.col("side") == "test").select("vec_id", F.col("y").alias("y_true"))
+    s = materialize(split_embeddings(spark, sf_dir))
+    pred = knn_predict(_neighbours(s), "qid", "y", "uniform")
+    truth = s.where(F.col("side") == "test").select("vec_id", F.col("y").alias("y_true"))
     return truth.join(pred.withColumnRenamed("qid", "vec_id"), "vec_id").select("vec_id", "y_true", "y_pred")
 
 
