@@ -3,19 +3,20 @@
 Liu, Ting & Zhou (2008): each tree isolates a random sample of ``psi`` rows by
 random axis-parallel splits; short average path lengths mean anomalies.
 
-* samples: one hash rank over the table gives every tree a disjoint sample of
-  ``psi`` rows (tree = rank mod trees) when the table holds ``trees * psi``
-  rows; a smaller table is replicated once per tree and ranked per tree;
-* trees: built in parallel by ``groupBy(tree).applyInPandas``, one tree per
-  group of ``psi`` rows, emitted as node rows;
-* scoring: the forest is a bounded model (trees x (2 psi - 1) nodes); it is
-  broadcast and rows are scored by a vectorised ``mapInPandas`` walk;
+* samples: the rows in hash order, read round and round, ``psi`` per tree; with ``trees * psi`` rows or more no row is used twice;
+* trees: built in parallel by ``groupBy(tree).applyInPandas``, one tree per group of ``psi`` rows; every cut is drawn by
+  MD5 of (seed, tree, node), so every engine draws the same forest;
+* scoring: the forest is a bounded model (trees x 2^(depth + 1) nodes); it is broadcast and each Arrow batch walks all trees
+  together, without a shuffle.  (Native walks were slower: see README.);
 * the anomaly score ``2^(-E[h] / c(psi))`` is min-max scaled over the scored
   rows and rows above the threshold are dropped.
+
+A row without a value in a cut's column goes left when scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -23,141 +24,117 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from seqlab.operators.sampling import hash_key, hash_rank
+from seqlab.operators.sampling import hash_rank
 from seqlab.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
 
 
-def avg_path_length(n: np.ndarray | float) -> np.ndarray:
+def avg_path_length(n: float) -> float:
     """c(n): average path length of an unsuccessful BST search over n points."""
-    n = np.asarray(n, dtype=np.float64)
-    out = np.zeros_like(n)
-    big = n > 2
-    out[n == 2] = 1.0
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
+    return 0.0 if n < 2 else 1.0 if n == 2 else 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size long"
+def levels_of(psi: int) -> int:
+    return math.ceil(math.log2(max(psi, 2)))
 
 
-def _build_tree_fn(features: Sequence[str], psi: int, seed: int):
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+def unit(*key) -> float:
+    """Uniform [0, 1) from the first 13 hex digits of MD5."""
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:13], 16) / 16 ** 13
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["_tree"].iloc[0])
-        x = pdf[list(features)].to_numpy(dtype=np.float64)
-        rng = np.random.default_rng([seed, tree])
-        rows: list[tuple] = []
 
-        def grow(idx: np.ndarray, depth: int) -> int:
-            node = len(rows)
-            rows.append(None)
-            sub = x[idx]
-            lo, hi = (sub.min(axis=0), sub.max(axis=0)) if len(idx) else (None, None)
-            splittable = [] if lo is None else np.nonzero(hi > lo)[0]
-            if depth >= max_depth or len(idx) <= 1 or len(splittable) == 0:
-                rows[node] = (tree, node, -1, 0.0, -1, -1, len(idx))
-                return node
-            f = int(rng.choice(splittable))
-            thr = float(rng.uniform(lo[f], hi[f]))
-            go_left = sub[:, f] < thr
-            left = grow(idx[go_left], depth + 1)
-            right = grow(idx[~go_left], depth + 1)
-            rows[node] = (tree, node, f, thr, left, right, len(idx))
-            return node
-
-        grow(np.arange(len(x)), 0)
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
-    return build
+def tree_samples(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
+    """((tree, x), rows per tree): tree t takes the places t*psi .. (t+1)*psi - 1 of the rows in hash order, read round and round."""
+    n = df.count()
+    psi, x = max(1, min(psi, n)), F.array(*[F.col(f).cast("double") for f in features])
+    places = n_trees * psi
+    ranked = hash_rank(df.select(F.col(id_col).alias("id"), x.alias("x")), "id", seed, rank_col="rk", limit=min(n, places))
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(places) - F.col("rk")) / F.lit(max(n, 1))))
+    rows = ranked.withColumn("turn", F.explode(turns))
+    return rows.select(F.floor((F.col("rk") - 1 + F.col("turn") * F.lit(n)) / F.lit(psi)).cast("int").alias("tree"), "x"), psi
+
+
+NODES = "tree int, node int, feature int, threshold double, size long"
+
+
+def grow_tree(tree: int, x: np.ndarray, psi: int, seed: int) -> list[tuple]:
+    """(tree, node, feature from 0 or -1 for a leaf, threshold, size) of the tree over the rows of ``x``.
+
+    Nodes are numbered as in a heap (children 2i and 2i + 1); the column and the place of a cut within its range are drawn by MD5 of (seed, tree, node).
+    """
+    out, todo = [], [(1, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+        wide = np.flatnonzero(hi > lo)
+        if node.bit_length() > levels_of(psi) or not wide.size:
+            out.append((tree, node, -1, None, len(rows)))
+            continue
+        f = int(wide[int(unit(seed, tree, node, "f") * len(wide))])
+        threshold = float(lo[f] + unit(seed, tree, node, "t") * (hi[f] - lo[f]))
+        right = x[rows, f] >= threshold
+        out.append((tree, node, f, threshold, len(rows)))
+        todo += [(2 * node + side, part) for side, part in ((0, rows[~right]), (1, rows[right])) if len(part)]
+    return out
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256,
-               seed: int = 42) -> DataFrame:
+def fit_forest(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """Node table of the forest (one row per node)."""
-    n = df.count()
-    psi = max(1, min(psi, n))
-    # The rows in hash order, read round and round: tree t takes the places t*psi .. (t+1)*psi - 1.  No tree holds a
-    # row twice, and with n_trees * psi rows or more no row is used twice.
-    places = n_trees * psi
-    ranked = hash_rank(df.select(id_col, *features), id_col, seed, rank_col="_rk", limit=min(n, places))
-    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(places) - F.col("_rk")) / F.lit(max(n, 1))))
-    sample = ranked.withColumn("_turn", F.explode(turns)).withColumn(
-        "_tree", F.floor((F.col("_rk") - 1 + F.col("_turn") * F.lit(n)) / F.lit(psi)).cast("int")).drop("_rk", "_turn")
-    return sample.groupBy("_tree").applyInPandas(_build_tree_fn(features, psi, seed), NODE_SCHEMA)
+    rows, psi = tree_samples(df, features, id_col, n_trees, psi, seed)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(grow_tree(int(pdf.tree.iloc[0]), np.stack(pdf.x.to_numpy()).astype(np.float64), psi, seed), columns=[c.split()[0] for c in NODES.split(", ")])
+
+    return rows.groupBy("tree").applyInPandas(grow, NODES)
 
 
 class Forest:
-    """Dense arrays of a fitted forest, small enough to broadcast."""
-
-    def __init__(self, nodes: pd.DataFrame, psi: int):
-        nodes = nodes.sort_values(["tree", "node"])
-        self.n_trees = int(nodes["tree"].nunique())
-        width = int(nodes.groupby("tree")["node"].max().max()) + 1
-        shape = (self.n_trees, width)
-        self.feature = np.full(shape, -1, dtype=np.int64)
-        self.threshold = np.zeros(shape)
-        self.left = np.zeros(shape, dtype=np.int64)
-        self.right = np.zeros(shape, dtype=np.int64)
-        self.size = np.zeros(shape)
-        tree_ix = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
-        ti = nodes["tree"].map(tree_ix).to_numpy()
-        ni = nodes["node"].to_numpy()
-        self.feature[ti, ni] = nodes["feature"].to_numpy()
-        self.threshold[ti, ni] = nodes["threshold"].to_numpy()
-        self.left[ti, ni] = nodes["left"].to_numpy()
-        self.right[ti, ni] = nodes["right"].to_numpy()
-        self.size[ti, ni] = nodes["size"].to_numpy()
-        self.leaf_extra = avg_path_length(self.size)
-        self.c_psi = float(avg_path_length(np.array([psi]))[0]) or 1.0
+    """Dense arrays of a fitted forest (trees x heap nodes), small enough to broadcast."""
+
+    def __init__(self, nodes: Sequence) -> None:
+        self.psi = max((r["size"] for r in nodes if r["node"] == 1), default=1)
+        place = {t: i for i, t in enumerate(sorted({r["tree"] for r in nodes}))}
+        shape = (len(place), 2 << levels_of(self.psi))
+        self.feature, self.threshold = np.zeros(shape, np.int64), np.full(shape, np.inf)
+        self.to = np.tile(np.arange(shape[1]), (shape[0], 1))
+        self.length = np.zeros(shape)
+        for r in nodes:
+            at = place[r["tree"]], r["node"]
+            if r["feature"] >= 0:
+                self.feature[at], self.threshold[at], self.to[at] = r["feature"], r["threshold"], 2 * r["node"]
+            else:  # a leaf leads to itself: no value reaches its threshold
+                self.length[at] = r["node"].bit_length() - 1 + avg_path_length(r["size"])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score 2^(-E[h(x)] / c(psi)) for the rows of ``x``; all trees walk together."""
-        m, n_t = x.shape[0], self.n_trees
-        tix = np.broadcast_to(np.arange(n_t), (m, n_t))
-        node = np.zeros((m, n_t), dtype=np.int64)
-        depth = np.zeros((m, n_t))
-        while True:
-            feat = self.feature[tix, node]
-            active = feat >= 0
-            if not active.any():
-                break
-            xv = np.take_along_axis(x, np.where(active, feat, 0), axis=1)
-            nxt = np.where(xv < self.threshold[tix, node], self.left[tix, node], self.right[tix, node])
-            node = np.where(active, nxt, node)
-            depth += active
-        total = (depth + self.leaf_extra[tix, node]).sum(axis=1)
-        return np.power(2.0, -(total / n_t) / self.c_psi)
-
-
-def score_rows(df: DataFrame, features: Sequence[str], forest: Forest, out: str = "iforest_score") -> DataFrame:
-    """Add the anomaly score.  A scalar pandas UDF over the feature struct: only the
-    feature columns cross to Python, in Arrow batches; the rest stays in the JVM."""
+        tree, node = np.arange(len(self.feature)), np.ones((len(x), len(self.feature)), np.int64)
+        for _ in range(levels_of(self.psi)):
+            value = np.take_along_axis(x, self.feature[tree, node], axis=1)
+            node = self.to[tree, node] + (value >= self.threshold[tree, node])
+        return np.power(2.0, -(self.length[tree, node].sum(axis=1) / max(1, len(tree))) / (avg_path_length(self.psi) or 1.0))
+
+
+def score_rows(df: DataFrame, features: Sequence[str], nodes: DataFrame, out: str = "iforest_score") -> DataFrame:
+    """``df`` with the anomaly score of each row under the forest of ``nodes``: a bounded model, collected and broadcast."""
     sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(forest)
-    # Python scoring is CPU-bound: a table read as fewer splits than there are
-    # cores (one row group, say) is spread round-robin first.  Inputs of cluster
-    # size already have more splits than cores and are left alone.
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+    forest = sc.broadcast(Forest(nodes.collect()))
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:  # a table read as fewer splits than there are cores
         df = df.repartition(sc.defaultParallelism)
 
     @F.pandas_udf("double")
-    def _score(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(bc.value.score(x.to_numpy(dtype=np.float64)))
+    def score(x: pd.DataFrame) -> pd.Series:  # only the columns of the forest cross to Python
+        return pd.Series(forest.value.score(x.to_numpy(dtype=np.float64)))
 
-    return df.withColumn(out, _score(F.struct(*[F.col(f) for f in features])))
+    return df.withColumn(out, score(F.struct(*features)))
 
 
 def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256,
                         seed: int = 42, out: str = "outlier_prob") -> DataFrame:
     """Outlier probability: anomaly score min-max scaled over the rows of ``df`` (the fitted data)."""
-    nodes = fit_forest(df, features, id_col, n_trees, psi, seed).toPandas()  # bounded model
-    forest = Forest(nodes, max(1, min(psi, int(nodes.groupby("tree")["size"].max().max()))))
-    # Written once: the minimum and maximum and the rows themselves would each score everything in Python.
-    scored = materialize(score_rows(df, features, forest, "_s"))
+    # Written once: the minimum and maximum and the rows themselves would each score everything.
+    scored = materialize(score_rows(df, features, fit_forest(df, features, id_col, n_trees, psi, seed), "_s"))
     mm = F.broadcast(scored.agg(F.min("_s").alias("_mn"), F.max("_s").alias("_mx")))
     prob = F.when(F.col("_mx") > F.col("_mn"), (F.col("_s") - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))) \
         .otherwise(F.lit(0.0))
@@ -170,6 +147,3 @@ def remove_outliers_iforest(df: DataFrame, features: Sequence[str], threshold: f
     """Drop rows whose outlier probability exceeds ``threshold`` (O2)."""
     p = iforest_probability(df, features, id_col, n_trees, psi, seed)
     return p.where(F.col("outlier_prob") <= F.lit(threshold)).drop("outlier_prob")
-
-
-__all__ = ["fit_forest", "Forest", "score_rows", "iforest_probability", "remove_outliers_iforest", "hash_key"]

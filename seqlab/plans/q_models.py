@@ -93,13 +93,43 @@ def _lineitem_rows(spark, sf_dir):
         .withColumn("row_key", F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
 
 
-@register("O2_iforest_filter")
+def _iforest_sql(n_trees: int = 100, psi: int = 256, levels: int = 8) -> str:
+    """CTE scored: the rows of lineitem with ``p``, their outlier probability."""
+    u = lambda kind: f"('0x' || substr(md5('{SEED}:' || tree || ':' || node || ':{kind}'), 1, 13))::bigint / 4503599627370496::double"
+    ranges = ", ".join(f"{{'i': {i}, 'lo': min(x[{i + 1}]) over w, 'hi': max(x[{i + 1}]) over w}}" for i in range(4))
+    grow = "".join(f"""
+g{k} as (select *, case when len(ranges) > 0 and {k} < {levels} then ranges[floor({u("f")} * len(ranges))::integer + 1] end as pick
+  from (select tree, node, x, count(*) over w as size, list_filter([{ranges}], lambda r: r.hi > r.lo) as ranges
+        from s{k} window w as (partition by tree, node))),
+c{k} as (select *, pick.lo + {u("t")} * (pick.hi - pick.lo) as threshold from g{k}),
+s{k + 1} as (select tree, x, 2 * node + (x[pick.i + 1] >= threshold)::integer as node from c{k} where pick is not null),""" for k in range(levels + 1))
+    nodes = " union all ".join(f"select distinct tree, node, coalesce(pick.i, -1) as feature, threshold, size from c{k}" for k in range(levels + 1))
+    walk = "".join(f"""
+w{k + 1} as (select rid, w.tree, x, case when feature < 0 then w.node else 2 * w.node + (x[feature + 1] >= threshold)::integer end as node
+  from w{k} w join nodes n on n.tree = w.tree and n.node = w.node),""" for k in range(levels))
+    c = lambda n: f"case when {n} < 2 then 0 when {n} = 2 then 1 else 2.0::double * (ln({n} - 1.0::double) + 0.5772156649015329::double) - 2.0::double * ({n} - 1.0::double) / {n} end"
+    cols = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
+    return f"""with li as materialized (select *, concat_ws('|', {cols}) as key, [l_quantity, l_extendedprice, l_discount, l_tax] as x,
+  row_number() over () as rid from (select {cols.replace("l_discount", "l_discount + 0.0::double as l_discount")} from lineitem)),
+ranked as (select x, row_number() over (order by md5('{SEED}:' || key), key) as rk, count(*) over () as n, least({psi}, count(*) over ()) as psi from li),
+s0 as (select ((rk - 1 + turn * n) // psi)::integer as tree, x, 1 as node
+  from ranked, unnest(range(0, greatest({n_trees} * psi - rk, -1) // n + 1)) as t(turn) where rk <= {n_trees} * psi),{grow}
+nodes as materialized ({nodes}),
+w0 as (select rid, tree, x, 1 as node from li, (select distinct tree from nodes) t),{walk}
+paths as (select rid, sum(length(bin(n.node)) - 1 + {c("size")}) / {n_trees} as h from w{levels} w join nodes n on n.tree = w.tree and n.node = w.node group by rid),
+scores as (select rid, pow(2, -h / (select {c("psi")} from ranked limit 1)) as score from paths),
+scored as (select {cols}, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as p from scores join li using (rid))"""
+
+
+@register("O2_iforest_filter", f"{_iforest_sql()} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax "
+          "from scored where p <= 0.5")
 def o2_iforest_filter(spark, sf_dir):
     kept = remove_outliers_iforest(_lineitem_rows(spark, sf_dir), LI_FEATURES, 0.5, "row_key", n_trees=100, seed=SEED)
     return kept.drop("row_key")
 
 
-@register("O2_iforest_outlier_share")
+@register("O2_iforest_outlier_share", f"{_iforest_sql()} select count(*) as n_total, count(*) filter (where p > 0.5) as n_outliers, "
+          "count(*) filter (where p > 0.5)::double / count(*) as outlier_share from scored")
 def o2_iforest_outlier_share(spark, sf_dir):
     p = iforest_probability(_lineitem_rows(spark, sf_dir), LI_FEATURES, "row_key", n_trees=100, seed=SEED)
     return outlier_share(p.withColumn("_o", (F.col("outlier_prob") > 0.5).cast("int")), "_o")
