@@ -150,6 +150,27 @@ def d8_smote_class_counts(spark, sf_dir):
     return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("synthetic").alias("n_synthetic"))
 
 
+_SMOTE_U = f"('0x' || substr(md5('{SEED}:' || y || ':' || i || ':{{}}'), 1, 13))::bigint / 4503599627370496::double"
+
+
+@register("D8_smote_rows", f"""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v, cast(embedding[1] + embedding[2] > 0 as integer) as y from embeddings),
+c as (select *, least(5, n - 1) as k, coalesce(sum(need) over (order by y rows between unbounded preceding and 1 preceding), 0) as used
+  from (select y, n, 2 * max(n) over () - n as need from (select y, count(*) as n from e group by y))),
+r as (select e.*, n, need, k, used, row_number() over (partition by y order by md5('{SEED}:' || vec_id), vec_id) as r from e join c using (y)),
+i as (select r.*, r + j * n as i from r, unnest(range(0, greatest(need - r, -1) // n + 1)) as t(j) where r <= need),
+d as (select *, floor({_SMOTE_U.format("n")} * k) + 1 as nth, {_SMOTE_U.format("u")} as u from i),
+nn as (select a.vec_id, b.v as nv, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as nth
+  from e a join e b on a.y = b.y and a.vec_id <> b.vec_id),
+o as (select vec_id, y, 0 as synthetic, v from e union all select (-(used + i))::bigint, y, 1,
+  list_transform(list_zip(v, nv), lambda p: p[1] + u * (p[2] - p[1])) from d join nn using (vec_id, nth))
+select vec_id, y, synthetic, {", ".join(f"round(v[{j + 1}], 6) as e{j}" for j in range(N_DIMS))} from o""")
+def d8_smote_rows(spark, sf_dir):
+    """Every class brought to twice the largest: all rows, given and synthetic."""
+    e = emb_table(spark, sf_dir)
+    level = 2 * e.groupBy("y").count().agg(F.max("count")).first()[0]
+    return _r(smote(e, "vec_id", EMB_FEATURES, "y", level, k=5, seed=SEED))
+
+
 def _split_tables(spark, sf_dir):
     s = stratified_split(emb_table(spark, sf_dir), "vec_id", "y", 0.33, SEED)
     return s.where(F.col("side") == "train").drop("side"), s.where(F.col("side") == "test").drop("side")

@@ -75,19 +75,19 @@ RECORDS_SQL = (
 )
 
 
-def intervals(spark: SparkSession, sf_dir: str, half_width: float = 300.0) -> DataFrame:
-    """Interval table: signups of every tenth user, +/- ``half_width`` seconds (start >= end)."""
+def intervals(spark: SparkSession, sf_dir: str, half_width: float = 60.0) -> DataFrame:
+    """Interval table: every signup +/- ``half_width`` seconds (start >= end)."""
     ev = read_table(spark, sf_dir, "events")
     p = epoch_seconds("ts")
-    return (ev.where((F.col("event_type") == "signup") & (F.col("user_id") % 10 == 0))
+    return (ev.where(F.col("event_type") == "signup")
             .select(F.col("event_id").alias("interval_id"),
                     (p + F.lit(half_width)).alias("iv_start"), (p - F.lit(half_width)).alias("iv_end")))
 
 
-def intervals_sql(half_width: float = 300.0) -> str:
+def intervals_sql(half_width: float = 60.0) -> str:
     return (f"select event_id as interval_id, epoch_us(ts)/1e6 + {half_width} as iv_start, "
             f"epoch_us(ts)/1e6 - {half_width} as iv_end from events "
-            "where event_type = 'signup' and user_id % 10 = 0")
+            "where event_type = 'signup'")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,15 @@ def test_smote_ids_are_unique_for_any_label_and_id_type(spark):
     assert out.count() == 3 * 44 == out.select("id").distinct().count()
 
 
+def test_smote_needs_two_rows_and_takes_null_classes(spark):
+    rows = [(i, None if i % 2 else 1, float(i)) for i in range(20)] + [(99, 7, 1.0)]
+    df = spark.createDataFrame(rows, "id long, y int, x double")
+    with pytest.raises(ValueError, match="class 7 has one row"):
+        smote(df, "id", ["x"], "y", 12)
+    out = smote(df.where("y is null or y < 7"), "id", ["x"], "y", 35, k=3).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in out} == {None: 35, 1: 35}
+
+
 def test_mad_without_a_tie_on_a_shuffled_hot_value(spark):
     df = spark.range(5000).select((F.col("id") % 7 * F.lit(1.0)).alias("x")).repartition(5).union(spark.createDataFrame([(1e6,)], "x double"))
     assert C.remove_outliers_mad(df, "x", 3.0).count() == 5000
