@@ -50,29 +50,23 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
 
 
-def mad_scores(df: DataFrame, col: str, tie: str | None = None, **scan_kw) -> tuple[DataFrame, float, float]:
+def mad_scores(df: DataFrame, col: str) -> tuple[DataFrame, float, float]:
     """Modified z-score ``0.6745 * |x - median| / MAD`` (O1).
 
     MAD = 0: a zero deviation scores 0 (kept), any other scores +inf (dropped).
-    Both medians are exact, chosen by rank, not via a value-count map.  Without a
-    unique ``tie`` column the values are written once with a row number, so that
-    the ranking, which reads them twice, sees the same numbers.
+    Both medians are exact, selected by counting: no row is sorted or shuffled.
     """
-    t = tie or "_tie"
-    work = df.select(col, t) if tie is not None else materialize(df.select(col, F.monotonically_increasing_id().alias("_tie")))
-    (med,) = exact_quantiles(work, col, t, [0.5], **scan_kw)
-    dev = work.select(F.abs(F.col(col) - F.lit(med)).alias("_dev"), F.col(t))
-    (mad,) = exact_quantiles(dev, "_dev", t, [0.5], **scan_kw)
+    (med,) = exact_quantiles(df, col, [0.5])
+    (mad,) = exact_quantiles(df.select(F.abs(F.col(col) - F.lit(med)).alias("_dev")), "_dev", [0.5])
     d = F.abs(F.col(col) - F.lit(med))
     score = (F.when(F.lit(mad) == 0, F.when(d == 0, F.lit(0.0)).otherwise(F.lit(float("inf"))))
              .otherwise(F.lit(0.6745) * d / F.lit(mad if mad else 1.0)))
     return df.withColumn("mad_score", score), med, mad
 
 
-def remove_outliers_mad(df: DataFrame, col: str, threshold: float = 3.0, tie: str | None = None,
-                        **scan_kw) -> DataFrame:
+def remove_outliers_mad(df: DataFrame, col: str, threshold: float = 3.0) -> DataFrame:
     """Drop rows whose modified z-score exceeds ``threshold`` (O1)."""
-    scored, _, _ = mad_scores(df, col, tie, **scan_kw)
+    scored, _, _ = mad_scores(df, col)
     return scored.where(F.col("mad_score") <= F.lit(threshold)).drop("mad_score")
 
 

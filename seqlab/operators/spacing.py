@@ -71,7 +71,7 @@ def spacing_stats(spaced: DataFrame, tie: str | None = None, **scan_kw) -> DataF
     """
     d = spaced.where(F.col("diff").isNotNull())
     if tie is not None:
-        (med,) = exact_quantiles(d.select("diff", tie), "diff", tie, [0.5], **scan_kw)
+        (med,) = exact_quantiles(d, "diff", [0.5])
         median = F.lit(med).cast("double")
     else:
         median = F.median("diff")
@@ -91,7 +91,7 @@ def spacing_percentiles(spaced: DataFrame, tie: str, percents: Sequence[float] =
                         **scan_kw) -> DataFrame:
     """Each percentile of the spacings with the count strictly above it."""
     d = _spacings(spaced, tie)
-    vals = exact_quantiles(d, "diff", tie, [p / 100.0 for p in percents], **scan_kw)
+    vals = exact_quantiles(d, "diff", [p / 100.0 for p in percents])
     counts = d.agg(*[F.count_if(F.col("diff") > F.lit(v)).alias(f"c{i}") for i, v in enumerate(vals)])
     stack = ", ".join(f"{_dlit(p)}, {_dlit(v)}, c{i}" for i, (p, v) in enumerate(zip(percents, vals)))
     return counts.selectExpr(f"stack({len(vals)}, {stack}) as (percentile, value, n_above)")
@@ -107,7 +107,7 @@ THRESHOLD_METHODS = [
 def gap_thresholds(spaced: DataFrame, tie: str, **scan_kw) -> DataFrame:
     """Seven candidate thresholds with the gaps above each and their total length."""
     d = _spacings(spaced, tie)
-    q1, q3, p95, p99, p995 = exact_quantiles(d, "diff", tie, [0.25, 0.75, 0.95, 0.99, 0.995], **scan_kw)
+    q1, q3, p95, p99, p995 = exact_quantiles(d, "diff", [0.25, 0.75, 0.95, 0.99, 0.995])
     mean, std = d.agg(F.avg("diff"), F.stddev_samp("diff")).first()
     # With no spacing there are no quartiles, with one no deviation: null thresholds, no gaps above them.
     thr = [None if std is None else mean + k * std for k in (2, 3)]
@@ -133,8 +133,8 @@ def top_gaps(spaced: DataFrame, pos: str, k: int = 20) -> DataFrame:
 def coverage_summary(spaced: DataFrame, pos: str, tie: str, label: str, threshold: float,
                      **scan_kw) -> DataFrame:
     """Length, gaps, coverage, label counts and estimated label length."""
-    small = spaced.where(F.col("diff").isNotNull() & (F.col("diff") <= F.lit(threshold))).select("diff", tie)
-    (median_small,) = exact_quantiles(small, "diff", tie, [0.5], **scan_kw)
+    small = spaced.where(F.col("diff").isNotNull() & (F.col("diff") <= F.lit(threshold)))
+    (median_small,) = exact_quantiles(small, "diff", [0.5])
     med = F.lit(median_small).cast("double")
     total = F.max(pos) - F.min(pos)
     gap_len = F.coalesce(F.sum(F.when(F.col("diff") > F.lit(threshold), F.col("diff"))), F.lit(0.0))
@@ -154,7 +154,7 @@ def coverage_summary(spaced: DataFrame, pos: str, tie: str, label: str, threshol
 def box_stats(df: DataFrame, col: str, tie: str, whis: float = 1.5, **scan_kw) -> DataFrame:
     """Quartiles, whiskers (furthest values within whis * IQR) and outlier count."""
     d = df.where(F.col(col).isNotNull()).select(col, tie)
-    q1, med, q3 = exact_quantiles(d, col, tie, [0.25, 0.5, 0.75], **scan_kw)
+    q1, med, q3 = exact_quantiles(d, col, [0.25, 0.5, 0.75])
     q1, med, q3 = (F.lit(q).cast("double") for q in (q1, med, q3))  # null without rows
     iqr = q3 - q1
     lo_f, hi_f = q1 - whis * iqr, q3 + whis * iqr
@@ -170,5 +170,5 @@ def truncated_histogram(spaced: DataFrame, tie: str, pct: float = 99.0, n_bins:
                         **scan_kw) -> DataFrame:
     """Histogram of the spacings at or below their ``pct`` percentile."""
     d = _spacings(spaced, tie)
-    (cut,) = exact_quantiles(d, "diff", tie, [pct / 100.0], **scan_kw)
+    (cut,) = exact_quantiles(d, "diff", [pct / 100.0])
     return histogram(d.where(F.col("diff") <= F.lit(cut)), "diff", n_bins)

@@ -1,40 +1,72 @@
 """Exact order statistics and equal-width histograms.
 
-Exact percentiles pick rows by global rank (``order.global_rank``) instead of
-building a per-value count map, so memory does not grow with distinct values.
+Exact percentiles are selected by counting between bracketing values, so nothing is sorted and
+memory does not grow with distinct values.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlab.operators.order import global_rank, plan_blocks
 
+DRIVER_VALUES = 50_000
 
-def exact_quantiles(df: DataFrame, col: str, tie: str, ps: Sequence[float], **scan_kw) -> list[float | None]:
-    """Linear-interpolated quantiles (numpy ``percentile`` default) of non-null ``col``.
 
-    ``ps`` are fractions in [0, 1].  Only 2 * len(ps) values reach the driver.
+def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], most: int = DRIVER_VALUES, accuracy: int = 10_000) -> list[float | None]:
+    """Linear-interpolated quantiles (numpy ``percentile`` default) of non-null ``col``, selected by counting.
+
+    ``ps`` are fractions in [0, 1].  No row is sorted or shuffled: mergeable quantile sketches bracket each wanted rank, an
+    aggregate counts the rows below and inside the brackets, and brackets of over ``most`` rows are narrowed again (each
+    time by about ``accuracy / 4``) unless they are one value.  Then at most ``most`` values per quantile, with their counts, reach the driver.
     """
-    d = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))).select(col, tie)
-    plan = plan_blocks(d, col, tie, **scan_kw)  # also counts the rows
-    n = plan.n_rows
+    if not ps:
+        return []
+    x = F.col(col)
+    d = df.where(x.isNotNull() & ~F.isnan(x)).select(col)
+    slack = 2.0 / accuracy
+    around = [min(max(p + s, 0.0), 1.0) for p in ps for s in (-slack, slack)]
+    row = d.agg(F.count(F.lit(1)), F.percentile_approx(x, around, accuracy)).first()
+    n, cuts = row[0], row[1]
     if not n:
         return [None for _ in ps]
-    wanted = set()
-    for p in ps:
-        h = (n - 1) * p
-        wanted.update({math.floor(h) + 1, math.ceil(h) + 1})
-    ranked = global_rank(d, col, tie, name="_r", plan=plan)
-    vals = {r["_r"]: r[col] for r in ranked.where(F.col("_r").isin(sorted(wanted))).collect()}
+    ranks = [(n - 1) * p for p in ps]  # from 0
+    # The bracket of each quantile: least and greatest value.
+    brackets = [(cuts[2 * i], cuts[2 * i + 1]) for i in range(len(ps))]
+    inside = lambda b: (x >= F.lit(b[0]) if b[0] is not None else F.lit(True)) & (x <= F.lit(b[1]) if b[1] is not None else F.lit(True))
+    done: set[int] = set()
+    while True:
+        counts = d.agg(*[F.count_if(c) for b in brackets for c in (x < F.lit(b[0]) if b[0] is not None else F.lit(False), inside(b))]).first()
+        below, held = counts[0::2], counts[1::2]
+        missed = [i for i, h in enumerate(ranks) if not below[i] <= math.floor(h) <= math.ceil(h) < below[i] + held[i]]
+        wide = [i for i in range(len(ps)) if i not in missed and i not in done and held[i] > most and brackets[i][0] != brackets[i][1]]
+        if not missed and not wide:
+            break
+        accuracy = min(4 * accuracy, (1 << 31) - 1)  # a sketch that was off, or a bracket that is still wide: finer next time, over all rows or those of the bracket
+        spans = {i: ((None, None), 0, n) if i in missed else (brackets[i], below[i], held[i]) for i in (*missed, *wide)}
+        shares = {i: [min(max((r - low) / max(m - 1, 1) + s / accuracy, 0.0), 1.0) for r, s in ((math.floor(ranks[i]), -2.0), (math.ceil(ranks[i]), 2.0))]
+                  for i, (_, low, m) in spans.items()}
+        found = d.agg(*[F.percentile_approx(F.when(inside(span), x), shares[i], accuracy) for i, (span, *_) in spans.items()]).first()
+        for i, q in zip(spans, found):
+            if i in wide and tuple(q) == brackets[i]:
+                done.add(i)  # a few values with many rows each
+            brackets[i] = tuple(q)
+    some = reduce(lambda a, b: a | b, [inside(b) for b in brackets])
+    values = sorted(map(tuple, d.where(some).groupBy(col).count().collect()))
     out = []
-    for p in ps:
-        h = (n - 1) * p
-        lo, hi = vals[math.floor(h) + 1], vals[math.ceil(h) + 1]
+    for h, b, start in zip(ranks, brackets, below):
+        found, seen = {}, start
+        for v, c in values:
+            if b[0] <= v <= b[1]:
+                for r in {math.floor(h), math.ceil(h)}:
+                    if seen <= r < seen + c:
+                        found[r] = v
+                seen += c
+        lo, hi = found[math.floor(h)], found[math.ceil(h)]
         out.append(lo + (hi - lo) * (h - math.floor(h)))
     return out
 

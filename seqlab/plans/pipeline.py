@@ -55,7 +55,7 @@ def clean(df: DataFrame, cfg: CleanConfig, counter: C.StageCounter | None = None
         # lineage once instead of recomputing sections and dedup for each.
         d = materialize(d)
         d = track("univariate_outliers_dropped",
-                  C.remove_outliers_mad(d, cfg.outlier_feature, cfg.univariate_threshold, cfg.tie))
+                  C.remove_outliers_mad(d, cfg.outlier_feature, cfg.univariate_threshold))
     if cfg.remove_outliers_multi:
         from seqlab.operators.iforest import remove_outliers_iforest
         d = track("multivariate_outliers_dropped",

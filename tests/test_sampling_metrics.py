@@ -58,7 +58,7 @@ def test_cost_example(spark):
 
 def test_mad_zero_keeps_equal_values(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(10)] + [(10, 5.0)], "id long, x double")
-    kept = remove_outliers_mad(df, "x", 3.0, "id").collect()
+    kept = remove_outliers_mad(df, "x", 3.0).collect()
     assert len(kept) == 10 and all(r.x == 1.0 for r in kept)
 
 
