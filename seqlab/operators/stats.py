@@ -20,9 +20,9 @@ DRIVER_VALUES = 50_000
 def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], most: int = DRIVER_VALUES, accuracy: int = 10_000) -> list[float | None]:
     """Linear-interpolated quantiles (numpy ``percentile`` default) of non-null ``col``, selected by counting.
 
-    ``ps`` are fractions in [0, 1].  No row is sorted or shuffled: mergeable quantile sketches bracket each wanted rank, an
-    aggregate counts the rows below and inside the brackets, and brackets of over ``most`` rows are narrowed again (each
-    time by about ``accuracy / 4``) unless they are one value.  Then at most ``most`` values per quantile, with their counts, reach the driver.
+    ``ps`` are fractions in [0, 1].  No row is sorted or shuffled: mergeable quantile sketches bracket each wanted rank, and an
+    aggregate counts the values inside the brackets and the rows between them: two jobs.  Where the brackets would hold over ``most`` values
+    they are narrowed first (each time by about ``accuracy / 4``), so at most ``most`` values per quantile reach the driver.
     """
     if not ps:
         return []
@@ -37,17 +37,37 @@ def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], most: int = DR
     ranks = [(n - 1) * p for p in ps]  # from 0
     # The bracket of each quantile: least and greatest value.
     brackets = [(cuts[2 * i], cuts[2 * i + 1]) for i in range(len(ps))]
-    inside = lambda b: (x >= F.lit(b[0]) if b[0] is not None else F.lit(True)) & (x <= F.lit(b[1]) if b[1] is not None else F.lit(True))
+    if len(ps) * 4 * n / accuracy > most or accuracy < 1000:
+        brackets = _narrowed(d, x, n, ranks, brackets, most, accuracy)
+    # One aggregate gives the values inside the brackets with their counts, and how many rows lie before, between and after them.
+    edges = sorted({e for b in brackets for e in b})
+    place = reduce(lambda u, v: u + v, [(x > F.lit(e)).cast("int") for e in edges])
+    value = F.when(reduce(lambda u, v: u | v, [(x >= F.lit(lo)) & (x <= F.lit(hi)) for lo, hi in brackets]), x)
+    groups = d.groupBy(place.alias("place"), value.alias("value")).count().collect()
+    found, seen = {}, 0
+    wanted = {r for h in ranks for r in (math.floor(h), math.ceil(h))}
+    for _, v, c in sorted(groups, key=lambda g: (g[0], g[1] is not None, g[1] or 0)):  # rows between brackets come before the edge above them
+        found.update({r: v for r in wanted if v is not None and seen <= r < seen + c})
+        seen += c
+    if len(found) < len(wanted):  # a sketch was off
+        return exact_quantiles(df, col, ps, most, 4 * accuracy)
+    return [found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h)) for h in ranks]
+
+
+def _narrowed(d: DataFrame, x: Column, n: int, ranks: Sequence[float], brackets: list[tuple], most: int, accuracy: int) -> list[tuple]:
+    """Brackets of at most ``most`` rows each, or of a few values that have more."""
+    inside = lambda b: (x >= F.lit(b[0])) & (x <= F.lit(b[1])) if b else F.lit(True)
     done: set[int] = set()
     while True:
-        counts = d.agg(*[F.count_if(c) for b in brackets for c in (x < F.lit(b[0]) if b[0] is not None else F.lit(False), inside(b))]).first()
+        counts = d.agg(*[F.count_if(c) for b in brackets for c in (x < F.lit(b[0]), inside(b))]).first()
         below, held = counts[0::2], counts[1::2]
         missed = [i for i, h in enumerate(ranks) if not below[i] <= math.floor(h) <= math.ceil(h) < below[i] + held[i]]
-        wide = [i for i in range(len(ps)) if i not in missed and i not in done and held[i] > most and brackets[i][0] != brackets[i][1]]
+        wide = [i for i in range(len(ranks)) if i not in missed and i not in done and held[i] > most and brackets[i][0] != brackets[i][1]]
         if not missed and not wide:
-            break
-        accuracy = min(4 * accuracy, (1 << 31) - 1)  # a sketch that was off, or a bracket that is still wide: finer next time, over all rows or those of the bracket
-        spans = {i: ((None, None), 0, n) if i in missed else (brackets[i], below[i], held[i]) for i in (*missed, *wide)}
+            return brackets
+        # Finer next time: over all rows where a sketch was off, over those of the bracket where that is still wide.
+        accuracy = min(4 * accuracy, (1 << 31) - 1)
+        spans = {i: ((), 0, n) if i in missed else (brackets[i], below[i], held[i]) for i in (*missed, *wide)}
         shares = {i: [min(max((r - low) / max(m - 1, 1) + s / accuracy, 0.0), 1.0) for r, s in ((math.floor(ranks[i]), -2.0), (math.ceil(ranks[i]), 2.0))]
                   for i, (_, low, m) in spans.items()}
         found = d.agg(*[F.percentile_approx(F.when(inside(span), x), shares[i], accuracy) for i, (span, *_) in spans.items()]).first()
@@ -55,20 +75,6 @@ def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], most: int = DR
             if i in wide and tuple(q) == brackets[i]:
                 done.add(i)  # a few values with many rows each
             brackets[i] = tuple(q)
-    some = reduce(lambda a, b: a | b, [inside(b) for b in brackets])
-    values = sorted(map(tuple, d.where(some).groupBy(col).count().collect()))
-    out = []
-    for h, b, start in zip(ranks, brackets, below):
-        found, seen = {}, start
-        for v, c in values:
-            if b[0] <= v <= b[1]:
-                for r in {math.floor(h), math.ceil(h)}:
-                    if seen <= r < seen + c:
-                        found[r] = v
-                seen += c
-        lo, hi = found[math.floor(h)], found[math.ceil(h)]
-        out.append(lo + (hi - lo) * (h - math.floor(h)))
-    return out
 
 
 def uniform_bin(x: Column, lo: Column, hi: Column, n_bins: int) -> Column:
