@@ -30,28 +30,36 @@ def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], most: int = DR
     d = df.where(x.isNotNull() & ~F.isnan(x)).select(col)
     slack = 2.0 / accuracy
     around = [min(max(p + s, 0.0), 1.0) for p in ps for s in (-slack, slack)]
-    row = d.agg(F.count(F.lit(1)), F.percentile_approx(x, around, accuracy)).first()
-    n, cuts = row[0], row[1]
+    n, least, greatest, cuts = d.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.percentile_approx(x, around, accuracy)).first()
     if not n:
         return [None for _ in ps]
     ranks = [(n - 1) * p for p in ps]  # from 0
-    # The bracket of each quantile: least and greatest value.
-    brackets = [(cuts[2 * i], cuts[2 * i + 1]) for i in range(len(ps))]
-    if len(ps) * 4 * n / accuracy > most or accuracy < 1000:
+    # The bracket of each quantile: least and greatest value.  A small table is one bracket.
+    brackets = [(cuts[2 * i], cuts[2 * i + 1]) for i in range(len(ps))] if n > most else [(least, greatest)] * len(ps)
+    if n > most and len(ps) * 4 * n / accuracy > most:
         brackets = _narrowed(d, x, n, ranks, brackets, most, accuracy)
-    # One aggregate gives the values inside the brackets with their counts, and how many rows lie before, between and after them.
+    found = _values_at(d, x, ranks, brackets)
+    if found is None:  # a sketch was off
+        found = _values_at(d, x, ranks, _narrowed(d, x, n, ranks, brackets, most, accuracy))
+    return [found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h)) for h in ranks]
+
+
+def _values_at(d: DataFrame, x: Column, ranks: Sequence[float], brackets: list[tuple]) -> dict | None:
+    """Rank -> value, from one aggregate: the values inside the brackets with their counts, and how many rows lie between them.
+
+    None where a rank lies outside the brackets.
+    """
     edges = sorted({e for b in brackets for e in b})
     place = reduce(lambda u, v: u + v, [(x > F.lit(e)).cast("int") for e in edges])
-    value = F.when(reduce(lambda u, v: u | v, [(x >= F.lit(lo)) & (x <= F.lit(hi)) for lo, hi in brackets]), x)
+    value = F.when(reduce(lambda u, v: u | v, [(x >= F.lit(lo)) & (x <= F.lit(hi)) for lo, hi in set(brackets)]), x)
     groups = d.groupBy(place.alias("place"), value.alias("value")).count().collect()
     found, seen = {}, 0
-    wanted = {r for h in ranks for r in (math.floor(h), math.ceil(h))}
+    wanted = sorted({r for h in ranks for r in (math.floor(h), math.ceil(h))})
     for _, v, c in sorted(groups, key=lambda g: (g[0], g[1] is not None, g[1] or 0)):  # rows between brackets come before the edge above them
-        found.update({r: v for r in wanted if v is not None and seen <= r < seen + c})
+        if v is not None:
+            found.update({r: v for r in wanted if seen <= r < seen + c})
         seen += c
-    if len(found) < len(wanted):  # a sketch was off
-        return exact_quantiles(df, col, ps, most, 4 * accuracy)
-    return [found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h)) for h in ranks]
+    return found if len(found) == len(wanted) else None
 
 
 def _narrowed(d: DataFrame, x: Column, n: int, ranks: Sequence[float], brackets: list[tuple], most: int, accuracy: int) -> list[tuple]:

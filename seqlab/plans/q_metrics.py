@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqlab.operators import metrics as M
 from seqlab.operators.sampling import stratified_kfold
 from seqlab.plans.catalog import register
+from seqlab.session import checkpoint_dir
+from seqlab.sources import writers as W
 from seqlab.sources.readers import PREDICTIONS_SQL, predictions, read_table
 
 C = M.DEFAULT_COSTS
@@ -231,3 +235,61 @@ r as (select model, trial, objective, row_number() over (partition by model orde
 select model, trial as best_trial, objective as best_objective from r where rn = 1""")
 def t6_best_trial(spark, sf_dir):
     return M.best_trial(_trials(spark, sf_dir), "model", "trial", "state", "objective")
+
+
+# --- sinks, read back: what was written, after a repeated write --------------------------------------------------
+
+def _fresh(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("S6_write_dataset", "select o_orderkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def s6_write_dataset(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    path = _fresh(spark, "dataset")
+    for _ in range(2):
+        W.write_dataset(orders, path, partition_by=["o_orderstatus"])
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@register("S7_write_results", f"{FT_SQL} select * from ft")
+def s7_write_results(spark, sf_dir):
+    results = _r(_fold_table(spark, sf_dir))
+    path = _fresh(spark, "results")
+    W.write_results(results.withColumn("predictions", F.array("tn", "fp", "fn", "tp")), path)
+    return spark.read.parquet(path)
+
+
+@register("S8_run_summary", f"""with t as ({TRIALS_SQL}) select count(*) as n_models, count(*) filter (where state = 'COMPLETE') as n_succeeded,
+  count(*) filter (where state <> 'COMPLETE') as n_failed, round(count(*) filter (where state = 'COMPLETE')::double / count(*), 6) as success_rate from t""")
+def s8_run_summary(spark, sf_dir):
+    path = _fresh(spark, "summary")
+    W.write_dataset(W.run_summary(_trials(spark, sf_dir)), path)
+    return _r(spark.read.parquet(path))
+
+
+LOGGED = ("average_cost_mean", "accuracy_mean", "f1_mean")
+
+
+@register("S9_run_log", f"{SM_SQL} " + " union all ".join(
+    f"select setting as run_id, '{m}' as key, 'metric' as kind, round({m}, 6) as value from sm" for m in LOGGED))
+def s9_run_log(spark, sf_dir):
+    """Every setting is a run; one of them is logged again, as after a lost acknowledgement."""
+    rows = W.run_rows(_summary(spark, sf_dir), "setting", LOGGED)
+    path = _fresh(spark, "run-log")
+    W.append_runs(rows, path)
+    W.append_runs(rows.where(F.col("run_id").startswith("1")), path)
+    log = W.read_runs(spark, path, "run_id string, key string, kind string, value string")
+    return log.select("run_id", "key", "kind", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("S11_best_records", f"""with t as ({TRIALS_SQL}),
+r as (select model, trial, objective, row_number() over (partition by model order by objective, trial) as rn
+      from t where state = 'COMPLETE' and objective is not null)
+select model, trial as best_trial, objective as best_objective from r where rn = 1""")
+def s11_best_records(spark, sf_dir):
+    best = M.best_trial(_trials(spark, sf_dir), "model", "trial", "state", "objective")
+    path = _fresh(spark, "best")
+    for _ in range(2):
+        W.append_runs(best, path, "model")
+    return W.read_runs(spark, path, "model string, best_trial long, best_objective double")

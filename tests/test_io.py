@@ -49,6 +49,13 @@ def test_writers_roundtrip(spark):
     assert log.count() == 4 and log.where(F.col("run_id") == rid).count() == 2
     W.record_best(spark, os.path.join(d, "best"), "knn", {"n_neighbors": 9}, 12.5, 3, {"f1": 0.7})
     assert W.read_best(spark, os.path.join(d, "best"), "knn") == {"n_neighbors": "9"}
+    # a run that is logged or recorded again replaces itself and leaves the others
+    W.log_run(spark, os.path.join(d, "log"), {"cost": 1.5}, {"C": 0.3}, rid)
+    assert spark.read.parquet(os.path.join(d, "log")).count() == 4
+    for score in (12.0, 11.0):
+        W.record_best(spark, os.path.join(d, "best"), "svm", {"C": score}, score, 1, {}, run_id="007")
+    best = W.read_runs(spark, os.path.join(d, "best"), W.BEST_SCHEMA)
+    assert best.count() == 2 and best.where("run_id = '007'").first().best_score == 11.0
     comp = spark.createDataFrame([("a", "COMPLETE"), ("b", "FAIL")], "model string, state string")
     s = W.run_summary(comp).first()
     assert (s.n_models, s.n_succeeded, s.n_failed, s.success_rate) == (2, 1, 1, 0.5)
