@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import uuid
@@ -32,6 +33,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(operator):
+    """The operator with the further columns of its documents under names that no operator uses, and back after it.
+
+    So a document column may be called what an operator calls one of its own.
+    """
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = [c for c in docs.columns if c not in DOCUMENT_COLUMNS]
+        hidden = {c: f"further_column_{i}" for i, c in enumerate(own)}
+        out = operator(docs.withColumnsRenamed(hidden), *args, **options) if own else operator(docs, *args, **options)
+        return out.withColumnsRenamed({h: c for c, h in hidden.items()})
+
+    return run
+
+
 def text_key(text: Column | str) -> Column:
     """128-bit key of a text (null: the key of the empty text), for joins that need no text."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

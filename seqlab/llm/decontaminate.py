@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import saved, text_key
+from seqlab.llm.common import apart, saved, text_key
 
 WINDOW = 13
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -188,6 +188,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
                       ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")
 
 
+@apart
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
     bad = contamination(docs, items, window, share).where("contaminated").select(F.col("key").alias("_bad_key")).distinct()

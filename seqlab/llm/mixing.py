@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import once, saved
+from seqlab.llm.common import apart, once, saved
 
 WEIGHTS, REPEAT = (5, 2, 1), 3
 BLOCK_WORDS = 64
@@ -140,6 +140,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int
     return rows, placed, cut.join(used, ["sid", "block"]).select("rid", "at", "len", "copies")
 
 
+@apart
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each text becomes the words that the mix takes of it (a text taken once
     as a whole stays as it is; a repeat follows on a new line); documents of which nothing is taken go."""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import saved
+from seqlab.llm.common import apart, saved
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
@@ -91,6 +91,7 @@ def quality_verdicts(docs: DataFrame, spread: float = SPREAD, min_group: int = M
     return rows.join(limits, same, "left").select(*rows.columns, kept.alias("kept"))
 
 
+@apart
 def quality_filter(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     return quality_verdicts(docs, spread, min_group).where("kept").select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import components, hamming_links, saved, word_pieces
+from seqlab.llm.common import apart, components, hamming_links, saved, word_pieces
 
 
 def text_fingerprint(data: bytes | None, shingle: int = 3) -> int:
@@ -73,6 +73,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFra
         "doc_id", "th", "fp", "root", "component_id")
 
 
+@apart
 def simhash_dedup(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from seqlab.llm import mixing, quality_rules
+from seqlab.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 
 
 def test_stages_against_plain_python(spark, small, items):
@@ -37,7 +37,7 @@ def test_stages_against_plain_python(spark, small, items):
 
 def test_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     assert set(E.oracle_sql()) <= set(names)
 
 
@@ -47,3 +47,20 @@ def test_odd_rows_pass_through_all_stages(spark, odd, none):
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert "shard" in docs.columns
+
+
+#: Names that the operators use for columns of their own.
+CLASHING = ("n_words", "kept", "n_lines", "symbols_lo", "_lang", "_w", "_h", "base_failed", "_text_th", "_kept_id", "_bad_key", "_rid", "_size", "_th",
+            "_words", "_pieces", "_mixed", "_line_th", "_left", "_gone", "shard", "key", "root", "contaminated")
+
+
+def test_columns_named_like_an_operators_own(spark, small, items):
+    docs = small.limit(60).select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHING])
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for operator in (quality_rules.quality_filter, simhash.simhash_dedup, lambda d: decontaminate.decontaminate(d, items), mixing.mix_documents,
+                     line_dedup.line_dedup):
+        out, plain = operator(docs), operator(docs.select(*small.columns))
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHING)
+        assert sorted(tuple(r[c] for c in small.columns) for r in rows) == sorted(map(tuple, plain.collect()))
