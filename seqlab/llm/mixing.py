@@ -110,10 +110,10 @@ def mix_slots(sources: DataFrame, n_shards: int, block_words: int = BLOCK_WORDS,
     return drawn.repartition(parts, "sid", "shard").mapInPandas(slots, "sid long, shard long, slot long, block long")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int = BLOCK_WORDS,
-        shard_words: int = SHARD_WORDS, seed: int = 1, bucket_rows: int = 4_000):
-    """(rows, pieces): the rows of ``docs`` with rid, size, source_size and target, and the parts
-    (rid, at, len, copies) of their words that the mix takes."""
+def streams(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int = BLOCK_WORDS,
+            shard_words: int = SHARD_WORDS, seed: int = 1, bucket_rows: int = 4_000):
+    """(rows, placed, cut, slots): the rows of ``docs``; each one's place in its source's stream, with source_size and target; the parts
+    (rid, at, len) of its words that lie in each block (sid, block); and the slots (sid, shard, slot, block) of the output shards."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORDS)).cast("long")
     rows = saved(docs.select("*", F.monotonically_increasing_id().alias("_rid"), F.xxhash64("text").alias("_th"), size.alias("_size")), "mix")
     thin = rows.select(F.col("_rid").alias("rid"), "doc_id", "source", F.col("_th").alias("th"), F.col("_size").alias("size"))
@@ -135,11 +135,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, block_words: int
     hi = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
     cut = cut.select("rid", "sid", "block", (lo - F.col("start")).alias("at"), (hi - lo).alias("len"))
     n_shards = max(1, math.ceil((total or 0) / shard_words))
-    used = mix_slots(sources, n_shards, block_words, repeat, seed).groupBy("sid", "block").agg(F.count("*").alias("copies"))
+    return rows, placed, cut, mix_slots(sources, n_shards, block_words, repeat, seed)
+
+
+def mix(docs: DataFrame, **options):
+    """(rows, placed, pieces): as ``streams``, and the parts (rid, at, len, copies) of their words that the mix takes."""
+    rows, placed, cut, slots = streams(docs, **options)
+    used = slots.groupBy("sid", "block").agg(F.count("*").alias("copies"))
     used = used.hint("merge")  # grown from the few rows of ``sources``, it would seem small enough to broadcast
     return rows, placed, cut.join(used, ["sid", "block"]).select("rid", "at", "len", "copies")
 
 
+def mixed_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix as output shards: (shard, sid, slot, n_words, text), one row per slot with the words of the block it takes.
+
+    ``sid`` numbers the sources by code point, null last; how many slots of each source a shard has is the shard's multinomial draw.
+    A block that several documents share holds their words one after the other.
+    """
+    rows, placed, cut, slots = streams(docs, **options)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    parts = cut.join(rows.select(F.col("_rid").alias("rid"), once(words).alias("words")), "rid")
+    parts = parts.select("rid", "sid", "block", "at", "len", F.array_join(F.slice("words", (F.col("at") + 1).cast("int"), F.col("len").cast("int")), " ").alias("part"))
+    parts = parts.join(placed.select("rid", "start"), "rid")
+    blocks = parts.groupBy("sid", "block").agg(F.sum("len").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct((F.col("start") + F.col("at")).alias("from"), "part"))), lambda p: p["part"]), " ").alias("text"))
+    return slots.join(blocks, ["sid", "block"]).select("shard", "sid", "slot", "n_words", "text")
+
+
 @apart
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each text becomes the words that the mix takes of it (a text taken once

@@ -81,3 +81,22 @@ def test_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         assert sorted(M.permute(np.arange(n), n, 12345)) == list(range(n))
     assert list(M.permute(np.arange(1000), 1000, 1)) != list(M.permute(np.arange(1000), 1000, 2))
+
+
+def test_shards_hold_the_slots(spark, small):
+    """Every slot of a shard holds its block's words; the seed decides how many slots of a source a shard has."""
+    options = {"shard_words": 2_000, "block_words": 32}
+    counts = []
+    for seed in (1, 2):
+        shards = M.mixed_shards(small, seed=seed, **options).collect()
+        assert all(len(r.text.split()) == r.n_words <= 32 for r in shards)
+        assert len({(r.shard, r.sid, r.slot) for r in shards}) == len(shards)
+        took = M.mix(small, seed=seed, **options)[2].selectExpr("sum(len * copies)").first()[0]
+        assert sum(r.n_words for r in shards) == took
+        cells = {}
+        for r in shards:
+            cells[r.shard, r.sid] = cells.get((r.shard, r.sid), 0) + 1
+        counts.append(cells)
+    assert counts[0] != counts[1] and len({shard for shard, _ in counts[0]}) > 3
+    words = {" ".join((r.text or "").split()) for r in small.collect()}
+    assert sum(any(r.text in w for w in words) for r in shards) > 0.5 * len(shards)
