@@ -8,8 +8,6 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.operators.stats import uniform_bin
-
 
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: name, Spark type, non-null count (A25).  One scan."""
@@ -21,18 +19,55 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def pair_counts(df: DataFrame, features: Sequence[str], cls: str, n_bins: int = 10) -> DataFrame:
     """For every feature pair, counts per (x bin, y bin, class) on equal-width bins over each
-    feature's [min, max] (A24).  The pairs are unpivoted per row and aggregated once, with
-    map-side combining, instead of drawing every point of every pair."""
-    bounds = F.broadcast(df.agg(*[x for f in features
-                                  for x in (F.min(f).alias(f"_lo_{f}"), F.max(f).alias(f"_hi_{f}"))]))
-    binned = df.crossJoin(bounds).select(
-        F.col(cls).alias("cls"),
-        *[uniform_bin(F.col(f), F.col(f"_lo_{f}"), F.col(f"_hi_{f}"), n_bins).alias(f"_b_{f}") for f in features])
-    pairs = list(combinations(features, 2))
-    arr = F.array(*[F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"),
-                             F.col(f"_b_{a}").alias("x_bin"), F.col(f"_b_{b}").alias("y_bin")) for a, b in pairs])
-    exploded = binned.select("cls", F.inline(arr))
-    return exploded.groupBy("x_col", "y_col", "x_bin", "y_bin", "cls").agg(F.count(F.lit(1)).alias("n"))
+    feature's [min, max] (A24).  Edges are those of ``uniform_bin``.  A null class is a class of its
+    own; a null or NaN feature has the null bin.
+
+    One aggregate gives the bounds, one row.  A task then adds its Arrow batches up in a dense count
+    vector per class, ``pairs * (n_bins + 1)**2`` numbers whatever its rows, and hands on the cells
+    that are not zero; a sum per cell merges the tasks.  No record is copied per pair."""
+    values = [F.col(f).cast("double") for f in features]
+    seen = [F.when(~F.isnan(v), v) for v in values]
+    bounds = df.agg(*[x for i, v in enumerate(seen) for x in (F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]).first()
+    limits = [(bounds[2 * i], bounds[2 * i + 1]) for i in range(len(features))]
+    src = df.select(F.col(cls).alias("cls"), *[F.coalesce(v, F.lit(float("nan"))).alias(f"x{i}") for i, v in enumerate(values)])
+    pairs, side = list(combinations(range(len(features)), 2)), n_bins + 1
+
+    def bins(x, lo, hi):
+        import numpy as np
+
+        if lo is None or lo == hi:
+            return np.where(np.isnan(x), n_bins, 0)
+        inner = np.arange(1, n_bins) * ((hi - lo) / float(n_bins)) + lo
+        return np.where(np.isnan(x), n_bins, np.searchsorted(inner, x, side="right"))
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        totals, kind = {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            code, classes = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            at = [bins(batch.column(1 + i).to_numpy(), lo, hi) for i, (lo, hi) in enumerate(limits)]
+            cells = len(classes) * side * side
+            for p, (a, b) in enumerate(pairs):
+                found = np.bincount((code * side + at[a]) * side + at[b], minlength=cells).reshape(len(classes), -1)
+                for value, row in zip(classes, found):
+                    totals.setdefault(value, np.zeros((len(pairs), side * side), np.int64))[p] += row
+        for value, n in totals.items():
+            pair, cell = np.nonzero(n)
+            columns = [pa.array([value] * len(pair), kind), pa.array(pair.astype(np.int32)),
+                       pa.array((cell // side).astype(np.int32)), pa.array((cell % side).astype(np.int32)), pa.array(n[pair, cell])]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "pair", "x_bin", "y_bin", "n"])
+
+    cells = src.mapInArrow(count, f"cls {src.schema['cls'].dataType.simpleString()}, pair int, x_bin int, y_bin int, n long")
+    merged = cells.groupBy("pair", "x_bin", "y_bin", "cls").agg(F.sum("n").alias("n"))
+    names = [F.array(*[F.lit(features[pair[k]]) for pair in pairs])[F.col("pair")] for k in (0, 1)]
+    bin_or_null = [F.when(F.col(c) < n_bins, F.col(c)).alias(c) for c in ("x_bin", "y_bin")]
+    return merged.select(names[0].alias("x_col"), names[1].alias("y_col"), *bin_or_null, "cls", "n")
 
 
 def standardize(df: DataFrame, features: Sequence[str], suffix: str = "") -> DataFrame:
