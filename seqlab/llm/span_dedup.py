@@ -1,7 +1,7 @@
 """Substring dedup over sliding sentence spans (op 7).
 
 Every run of ``run`` consecutive sentences with at least ``min_words`` words is hashed
-(128 bits of its lower-cased words) and the hashes are joined globally.  A
+(96 bits of its lower-cased words) and the hashes are joined globally.  A
 sentence that lies in any occurrence of a repeated run but the first one (by
 doc_id, text hash, position; rows without doc_id last) is removed.
 
@@ -11,6 +11,11 @@ A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line end, and h
 that no unit is longer and cuts depend on nearby words alone: a passage of more than 50 words
 holds whole runs wherever it starts, with or without full stops.
 
+Texts are cut once: a written row per document holds the sentence bounds and the hashes.  A count per
+64-bit hash, combined before the shuffle, finds what may repeat; only those places meet again with all 96 bits
+and their document's key.  The large sides of these joins are read or shuffled for the join alone, so a span
+that many documents hold is split by adaptive execution.
+
 Cases: a null or empty text has no sentences and stays as it is; rows that
 repeat doc_id and text are one document and get one result; repeats inside one
 document count like any others.
@@ -52,7 +57,7 @@ def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, l
 
     out, start, before, words = [], 0, 0, []
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        new = [w.lower() for w in text[before:end].split()]
+        new = text[before:end].lower().split()
         words += new
         before = end
         if not words or len(new) < SHORT_WORDS and end < len(text):
@@ -74,7 +79,7 @@ def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, l
 
 
 def span_hashes(units, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(h1, h2, first sentence) of every run of sentences that is long enough."""
+    """(h1, h2, first sentence) of every run of sentences that is long enough: 64 and 32 bits, signed."""
     import xxhash
 
     joined = [" ".join(w) for _, _, w in units]
@@ -82,36 +87,46 @@ def span_hashes(units, run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple
     for i in range(len(units) - run + 1):
         if sum(sizes[i:i + run]) >= min_words:
             d = xxhash.xxh3_128_digest("\n".join(joined[i:i + run]))
-            out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), i))
+            out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:12], "big", signed=True), i))
     return out
 
 
-def spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, h1, h2, pos): a row for every span of every document."""
+def cut_texts(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, starts, ends, h1, h2, pos) for every row: the bounds of its sentences, and its spans."""
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    lists = {"starts": "int", "ends": "int", "h1": "long", "h2": "int", "pos": "int"}
 
-    def hashed(batches):
+    def cut(batches):
         import pyarrow as pa
 
+        kinds = [pa.list_(pa.int64() if t == "long" else pa.int32()) for t in lists.values()]
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part, rows = b.slice(s, 128), []
-                for doc, th, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    rows += [(doc, th, *x) for x in span_hashes(sentences(text or ""), run, min_words)]
-                cols = list(zip(*rows)) or [[]] * 5
-                kinds = (part.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "th", "h1", "h2", "pos"])
+                for text in part.column(2).to_pylist():
+                    units = sentences(text or "")
+                    spans = list(zip(*span_hashes(units, run, min_words))) or [()] * 3
+                    rows.append(([u[0] for u in units], [u[1] for u in units], *spans))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "th", *lists])
 
-    return src.mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, h1 long, h2 long, pos int")
+    return src.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, " + ", ".join(f"{c} array<{t}>" for c, t in lists.items()))
 
 
-def removed_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, gone): the sentences of each document that a later occurrence of a span covers."""
-    rows = spans(docs, run, min_words)
+def removed_sentences(cuts: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, th, gone): the sentences of each document that a later occurrence of a span covers.
+
+    ``cuts``: a written table with the columns of ``cut_texts`` and a number ``rid`` for every row.
+    """
+    twice = saved(cuts.select(F.explode("h1").alias("h1")).groupBy("h1").count().where("count > 1").select("h1"), "repeated-hashes")
+    places = cuts.select("rid", F.inline(F.arrays_zip("h1", "h2", "pos")))
+    places = places.join(twice, "h1", "left_semi").join(cuts.select("rid", "doc_id", "th"), "rid")
+    places = saved(places.select("h1", "h2", "doc_id", "th", "pos"), "repeated-places")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "pos")
     # One row per span and task leaves the map side, however often a passage occurs.
-    twice = rows.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("not (f <=> l)")
-    later = rows.join(twice.select("h1", "h2", "f"), ["h1", "h2"]).where(~at.eqNullSafe(F.col("f")))
+    first = places.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("not (f <=> l)")
+    first = saved(first.select("h1", "h2", "f"), "first-places")
+    later = places.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("f")))
     ranges = later.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("i"))
     return ranges.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("i")).alias("gone"))
 
@@ -119,10 +134,18 @@ def removed_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
 def span_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, spans, text) for every row: the text without its removed sentences;
     spans: their start:end in code points of the old text, comma-joined."""
-    gone = saved(removed_sentences(docs, run, min_words), "removed-sentences")
-    gone = gone.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "gone")
+    cuts = saved(cut_texts(docs, run, min_words).withColumn("rid", F.monotonically_increasing_id()), "cut-texts")
+    gone = removed_sentences(cuts, run).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "gone")
+    # One row per document again: its bounds, where sentences go, and their number.
+    bounds = cuts.select("doc_id", "th", "starts", "ends").dropDuplicates(["doc_id", "th"])
+    bounds = bounds.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+    none = F.col("gone").isNull()
+    bounds = saved(bounds.select(
+        F.col("doc_id").alias("i"), F.col("th").alias("t"), F.size("ends").cast("long").alias("n_sentences"), "gone",
+        *[F.when(~none, F.col(c)).alias(c) for c in ("starts", "ends")]), "removed-sentences")
     src = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    src = src.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "gone")
+    src = src.join(bounds, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+    src = src.select("doc_id", "text", "n_sentences", "gone", "starts", "ends")
 
     def cut(batches):
         import pyarrow as pa
@@ -130,16 +153,14 @@ def span_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part, rows = b.slice(s, 128), []
-                for text, out in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    units = sentences(text or "")
-                    out = set(out or ())
-                    where = [(a, z) for i, (a, z, _) in enumerate(units) if i in out]
+                for text, out, starts, ends in zip(*(part.column(i).to_pylist() for i in (1, 3, 4, 5))):
+                    where = [(starts[i], ends[i]) for i in out or ()]
                     if where:
-                        first = units[0][0]
-                        text = text[:first] + "".join(text[a:z] for i, (a, z, _) in enumerate(units) if i not in out)
-                    rows.append((len(units), len(where), ",".join(f"{a}:{z}" for a, z in where), text))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_sentences", "n_removed", "spans", "text"])
+                        out = set(out)
+                        text = text[:starts[0]] + "".join(text[a:z] for i, (a, z) in enumerate(zip(starts, ends)) if i not in out)
+                    rows.append((len(where), ",".join(f"{a}:{z}" for a, z in where), text))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], ["doc_id", "n_sentences", "n_removed", "spans", "text"])
 
     return src.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_sentences long, n_removed long, spans string, text string")
 
