@@ -74,3 +74,26 @@ def test_pack_levels_the_others_beside_a_row_above_a_share():
     v = np.r_[[[5000.0, 1, 1]], np.stack([np.arange(1.0, 100), np.ones(99), np.ones(99)], axis=1)]
     load = np.sort(np.bincount(S.pack(v, 4), v[:, 0], 4))
     assert load[3] < 5200 and load[2] - load[0] < 10
+
+
+def test_groups_stay_whole_up_to_a_share_and_shards_do_not_depend_on_files(spark):
+    """Groups of 400 and 900 rows with a shard's share of 1500, one of two shares; many packing tasks."""
+    name = F.when(F.col("id") < 400, F.lit("copy a")).when(F.col("id") < 1300, F.lit("copy b")).when(F.col("id") < 4300, F.lit("copy c")).otherwise(
+        F.concat(F.lit("text "), F.col("id").cast("string")))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.rpad(name, 40, ".").alias("text"))
+    rows = check(docs, 40, task_rows=2_000)
+    where = {r.doc_id: r.shard for r in rows}
+    for a, z, pieces in ((0, 400, 1), (400, 1300, 1)):
+        assert len({where[i] for i in range(a, z)}) == pieces
+    assert len({where[i] for i in range(1300, 4300)}) > 2
+    assert abs(loads(rows, 40) - 1).max() < 0.01
+    again = S.assign_shards(docs.orderBy(F.xxhash64("doc_id")).repartition(5), 40, task_rows=2_000).collect()
+    assert {r.doc_id: r.shard for r in again} == where
+
+
+def test_pack_fills_beside_what_the_shards_hold():
+    used = np.array([[900.0, 9, 9], [0, 0, 0], [0, 0, 0]])
+    v = np.stack([np.full(210, 10.0), np.full(210, 0.1), np.full(210, 0.1)], axis=1)
+    for first in (0, 2):
+        load = used[:, 0] + np.bincount(S.pack(v, 3, first, used), v[:, 0], 3)
+        assert load.max() - load.min() <= 10
