@@ -79,3 +79,40 @@ def test_staircase_equals_a_search_per_limit(spark):
         for r in near:
             assert [(c.tid, round(c.dist, 9)) for c in r.near if c.rk <= lim][:5] == want[r.qid]
     assert max(len(r.near) for r in near) <= 7 * 5 * len(limits)
+
+
+def test_queries_that_reach_every_cell_are_not_copied_to_them(spark):
+    rng = np.random.default_rng(12)
+    t, q = rng.normal(size=(1200, 32)), rng.normal(size=(90, 32))
+    ref = _frame(spark, t, "tid").withColumnRenamed("v", "_vec").select("tid", "_vec", "g")
+    ask = _frame(spark, q, "qid").withColumnRenamed("v", "_qvec")
+    queries, refs = K._pruned(ask, ref, 5, "euclidean", ["g"], 35, 400)
+    assert "_cell" not in queries.columns and queries.count() == 90 and refs.columns == ref.columns and refs.count() == 1200
+    got = K.nearest_neighbours(_frame(spark, q, "qid"), _frame(spark, t, "tid"), 5, "qid", "tid", "v", by=["g"], block_rows=100)
+    rows = {}
+    for r in got.orderBy("qid", "nn_rank").collect():
+        rows.setdefault(r.qid, []).append((r.tid, round(r.dist, 9)))
+    assert [rows[i] for i in range(90)] == _brute(q, t, 5, "euclidean")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("kind", ["plain", "far from zero", "rounded", "copies", "an outlier", "tiny", "all equal"])
+def test_screened_search_equals_all_distances(metric, kind):
+    rng = np.random.default_rng(13)
+    q, t = rng.normal(size=(150, 12)), rng.normal(size=(2500, 12))
+    if kind == "far from zero":
+        q, t = q + 1e7, t + 1e7
+    elif kind == "rounded":
+        q, t = np.round(q[:, :2], 1), np.round(t[:, :2], 1)
+    elif kind == "copies":
+        t[::3] = q[::5] = t[0]
+    elif kind == "an outlier":
+        t[7] *= 1e12
+    elif kind == "tiny":
+        q, t = q * 1e-25, t * 1e-25
+    elif kind == "all equal":
+        q[:] = t[:] = 1.0
+    ids = rng.permutation(2500)
+    for k, ends, drop_self in ((9, [2500], False), (6, [3, 10, 500, 501, 2400], False), (5, [2500], True)):
+        got, want = (sorted(zip(*[x.tolist() for x in f(q, t, np.arange(150), ids, k, metric, drop_self, ends)])) for f in (K._search, K._search_directly))
+        assert got == want
