@@ -22,10 +22,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.operators.sampling import hash_rank
+from seqlab.operators.sampling import hash_key, hash_rank
 from seqlab.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
@@ -45,24 +45,31 @@ def unit(*key) -> float:
     return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:13], 16) / 16 ** 13
 
 
-def tree_samples(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
+def tree_samples(df: DataFrame, features: Sequence[str], id_col: str | Column, n_trees: int, psi: int, seed: int) -> tuple[DataFrame, int]:
     """((tree, x), rows per tree): tree t takes the places t*psi .. (t+1)*psi - 1 of the rows in hash order, read round and round."""
     n = df.count()
     psi, x = max(1, min(psi, n)), F.array(*[F.col(f).cast("double") for f in features])
     places = n_trees * psi
-    ranked = hash_rank(df.select(F.col(id_col).alias("id"), x.alias("x")), "id", seed, rank_col="rk", limit=min(n, places))
+    rows = df.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), x.alias("x"))
+    if n > 4 * places:
+        # The hashes are taken once: the rows below a hash that some twice the places lie under, if they are enough.
+        key, share = hash_key("id", seed), f"{int(2 * places / n * 16 ** 12):012x}"
+        head = materialize(rows.where(key.isNull() | (F.substring(key, 1, 12) < share)))
+        rows = head if head.count() >= places else rows
+    ranked = hash_rank(rows, "id", seed, rank_col="rk", limit=min(n, places))
     turns = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(places) - F.col("rk")) / F.lit(max(n, 1))))
     rows = ranked.withColumn("turn", F.explode(turns))
     return rows.select(F.floor((F.col("rk") - 1 + F.col("turn") * F.lit(n)) / F.lit(psi)).cast("int").alias("tree"), "x"), psi
 
 
+WALK_ROWS = 4_096  # that walk a tree together
 NODES = "tree int, node int, feature int, threshold double, size long"
 
 
 def grow_tree(tree: int, x: np.ndarray, psi: int, seed: int) -> list[tuple]:
     """(tree, node, feature from 0 or -1 for a leaf, threshold, size) of the tree over the rows of ``x``.
 
-    Nodes are numbered as in a heap (children 2i and 2i + 1); the column and the place of a cut within its range are drawn by MD5 of (seed, tree, node).
+    Nodes are numbered as in a heap from 1 (children 2i and 2i + 1); the column and the place of a cut within its range are drawn by MD5 of (seed, tree, node).
     """
     out, todo = [], [(1, np.arange(len(x)))]
     while todo:
@@ -80,40 +87,56 @@ def grow_tree(tree: int, x: np.ndarray, psi: int, seed: int) -> list[tuple]:
     return out
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
-    """Node table of the forest (one row per node)."""
+def fit_forest(df: DataFrame, features: Sequence[str], id_col: str | Column, n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
+    """Node table of the forest (one row per node); a tree's root is node 0, one less than its number in the heap."""
     rows, psi = tree_samples(df, features, id_col, n_trees, psi, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(grow_tree(int(pdf.tree.iloc[0]), np.stack(pdf.x.to_numpy()).astype(np.float64), psi, seed), columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return rows.groupBy("tree").applyInPandas(grow, NODES)
+    return rows.groupBy("tree").applyInPandas(grow, NODES).withColumn("node", F.col("node") - 1)
 
 
 class Forest:
     """Dense arrays of a fitted forest (trees x heap nodes), small enough to broadcast."""
 
     def __init__(self, nodes: Sequence) -> None:
-        self.psi = max((r["size"] for r in nodes if r["node"] == 1), default=1)
+        self.psi = max((r["size"] for r in nodes if r["node"] == 0), default=1)
         place = {t: i for i, t in enumerate(sorted({r["tree"] for r in nodes}))}
         shape = (len(place), 2 << levels_of(self.psi))
         self.feature, self.threshold = np.zeros(shape, np.int64), np.full(shape, np.inf)
         self.to = np.tile(np.arange(shape[1]), (shape[0], 1))
         self.length = np.zeros(shape)
         for r in nodes:
-            at = place[r["tree"]], r["node"]
+            node = r["node"] + 1
+            at = place[r["tree"]], node
             if r["feature"] >= 0:
-                self.feature[at], self.threshold[at], self.to[at] = r["feature"], r["threshold"], 2 * r["node"]
+                self.feature[at], self.threshold[at], self.to[at] = r["feature"], r["threshold"], 2 * node
             else:  # a leaf leads to itself: no value reaches its threshold
-                self.length[at] = r["node"].bit_length() - 1 + avg_path_length(r["size"])
+                self.length[at] = node.bit_length() - 1 + avg_path_length(r["size"])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score 2^(-E[h(x)] / c(psi)) for the rows of ``x``; all trees walk together."""
-        tree, node = np.arange(len(self.feature)), np.ones((len(x), len(self.feature)), np.int64)
-        for _ in range(levels_of(self.psi)):
-            value = np.take_along_axis(x, self.feature[tree, node], axis=1)
-            node = self.to[tree, node] + (value >= self.threshold[tree, node])
-        return np.power(2.0, -(self.length[tree, node].sum(axis=1) / max(1, len(tree))) / (avg_path_length(self.psi) or 1.0))
+        """Anomaly score 2^(-E[h(x)] / c(psi)) for the rows of ``x``, which walk one tree at a time: its tables stay in the cache."""
+        out = np.empty(len(x))
+        for s in range(0, len(x), WALK_ROWS):
+            part = np.ascontiguousarray(x[s:s + WALK_ROWS])
+            n, values, first = len(part), part.ravel(), np.arange(len(part)) * part.shape[1]
+            length = np.empty((n, len(self.feature)))
+            at, value, cut = np.empty(n, np.int64), np.empty(n), np.empty(n)
+            node, then = np.empty(n, np.int64), np.empty(n, np.int64)
+            for t in range(len(self.feature)):
+                node.fill(1)
+                for _ in range(levels_of(self.psi)):
+                    np.take(self.feature[t], node, out=at, mode="clip")
+                    at += first
+                    np.take(values, at, out=value, mode="clip")
+                    np.take(self.threshold[t], node, out=cut, mode="clip")
+                    np.take(self.to[t], node, out=then, mode="clip")
+                    then += value >= cut
+                    node, then = then, node
+                length[:, t] = self.length[t][node]
+            out[s:s + n] = np.power(2.0, -(length.sum(axis=1) / max(1, len(self.feature))) / (avg_path_length(self.psi) or 1.0))
+        return out
 
 
 def score_rows(df: DataFrame, features: Sequence[str], nodes: DataFrame, out: str = "iforest_score") -> DataFrame:
@@ -130,9 +153,12 @@ def score_rows(df: DataFrame, features: Sequence[str], nodes: DataFrame, out: st
     return df.withColumn(out, score(F.struct(*features)))
 
 
-def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = 100, psi: int = 256,
+def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str | Column, n_trees: int = 100, psi: int = 256,
                         seed: int = 42, out: str = "outlier_prob") -> DataFrame:
-    """Outlier probability: anomaly score min-max scaled over the rows of ``df`` (the fitted data)."""
+    """Outlier probability: anomaly score min-max scaled over the rows of ``df`` (the fitted data).
+
+    ``id_col``: a column or an expression that only the samples need; then it is not written with the rows.
+    """
     # Written once: the minimum and maximum and the rows themselves would each score everything.
     scored = materialize(score_rows(df, features, fit_forest(df, features, id_col, n_trees, psi, seed), "_s"))
     mm = F.broadcast(scored.agg(F.min("_s").alias("_mn"), F.max("_s").alias("_mx")))
@@ -142,7 +168,7 @@ def iforest_probability(df: DataFrame, features: Sequence[str], id_col: str, n_t
         .drop("_s", "_mn", "_mx")
 
 
-def remove_outliers_iforest(df: DataFrame, features: Sequence[str], threshold: float, id_col: str,
+def remove_outliers_iforest(df: DataFrame, features: Sequence[str], threshold: float, id_col: str | Column,
                             n_trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """Drop rows whose outlier probability exceeds ``threshold`` (O2)."""
     p = iforest_probability(df, features, id_col, n_trees, psi, seed)

@@ -85,12 +85,13 @@ EMB_FEATURES = [f"e{i}" for i in range(N_DIMS)]
 
 
 def _lineitem_rows(spark, sf_dir):
+    """(rows, their key)."""
     li = read_table(spark, sf_dir, "lineitem")
     cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LI_FEATURES]
     # lineitem has no unique key: the row content is the sampling id (equal
     # rows are interchangeable, so the sample is still a fixed multiset).
-    return li.select(*[F.col(c) + F.lit(0.0) if c == "l_discount" else F.col(c) for c in cols]).toDF(*cols) \
-        .withColumn("row_key", F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
+    return li.select(*[F.col(c) + F.lit(0.0) if c == "l_discount" else F.col(c) for c in cols]).toDF(*cols), \
+        F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
 def _iforest_sql(n_trees: int = 100, psi: int = 256, levels: int = 8) -> str:
@@ -124,14 +125,15 @@ scored as (select {cols}, (score - min(score) over ()) / (max(score) over () - m
 @register("O2_iforest_filter", f"{_iforest_sql()} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax "
           "from scored where p <= 0.5")
 def o2_iforest_filter(spark, sf_dir):
-    kept = remove_outliers_iforest(_lineitem_rows(spark, sf_dir), LI_FEATURES, 0.5, "row_key", n_trees=100, seed=SEED)
-    return kept.drop("row_key")
+    rows, key = _lineitem_rows(spark, sf_dir)
+    return remove_outliers_iforest(rows, LI_FEATURES, 0.5, key, n_trees=100, seed=SEED)
 
 
 @register("O2_iforest_outlier_share", f"{_iforest_sql()} select count(*) as n_total, count(*) filter (where p > 0.5) as n_outliers, "
           "count(*) filter (where p > 0.5)::double / count(*) as outlier_share from scored")
 def o2_iforest_outlier_share(spark, sf_dir):
-    p = iforest_probability(_lineitem_rows(spark, sf_dir), LI_FEATURES, "row_key", n_trees=100, seed=SEED)
+    rows, key = _lineitem_rows(spark, sf_dir)
+    p = iforest_probability(rows, LI_FEATURES, key, n_trees=100, seed=SEED)
     return outlier_share(p.withColumn("_o", (F.col("outlier_prob") > 0.5).cast("int")), "_o")
 
 

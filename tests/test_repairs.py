@@ -1,5 +1,6 @@
 """Cases found in review: failing first, kept as regressions."""
 
+import hashlib
 import math
 
 import duckdb
@@ -141,6 +142,21 @@ def test_iforest_samples_by_one_rule(spark):
         assert sizes == [psi] * trees
 
 
+def test_iforest_takes_its_key_as_an_expression_and_hashes_once(spark, monkeypatch):
+    from seqlab.operators import iforest as I
+
+    df = spark.range(3000).select("id", (F.col("id") % 97 * 1.5).alias("x"), (F.col("id") % 89 * 1.0).alias("y"))
+    asked, rank = [], I.hash_rank
+    monkeypatch.setattr(I, "hash_rank", lambda d, *a, **k: asked.append(d.count()) or rank(d, *a, **k))
+    key = F.concat_ws("|", "id", "x")
+    got = sorted(map(tuple, I.fit_forest(df, ["x", "y"], key, 5, 20).collect()))
+    assert asked[0] < 1000  # not all rows are ranked
+    rows = sorted(((hashlib.md5(f"42:{i}|{i % 97 * 1.5}".encode()).hexdigest(), i % 97 * 1.5, i % 89 * 1.0) for i in range(3000)))
+    want = [r for t in range(5) for r in I.grow_tree(t, np.array([x[1:] for x in rows[20 * t:20 * t + 20]]), 20, 42)]
+    assert got == sorted((t, n - 1, *rest) for t, n, *rest in want)
+    assert "key" not in I.iforest_probability(df, ["x", "y"], key, 5, 20).columns
+
+
 def test_knn_groups_are_blocked_by_their_own_size(spark):
     rng = np.random.default_rng(2)
     rows = [(i % 2, i, [float(x) for x in rng.normal(size=3)]) for i in range(80)] + [(7, 100, [0.0] * 3)]
